@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnlens.llm import bpe, exact_dedup, mixing, url_filter
+from turnlens.llm import bpe, exact_dedup, html_extract, mixing, url_filter
 from turnlens.llm.common import table
 
 
@@ -33,11 +34,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
+    "op10_html_extract": op10_html_extract,
 }
 
 SQL: dict[str, str] = {
