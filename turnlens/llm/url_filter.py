@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
