@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +194,12 @@ def encode(docs: DataFrame, bpe: Bpe, id_col: str = "doc_id", text_col: str = "t
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the hashes of the packed ids and of the decoded bytes."""
+def digests(encoded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_tokens, ``keep`` and the hashes of the packed ids and of the decoded bytes."""
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        *keep,
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

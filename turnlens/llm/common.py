@@ -43,3 +43,41 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def word_count(text: Column) -> Column:
     """Words of a whole text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Rows of ids and labels that may be broadcast (16 MB at 16 bytes a row).
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (narrow, and cheap to count) with a broadcast hint if it has ``rows`` rows at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, label) of every node of the edges (a, b), bigint; the label is the least node connected.
+
+    Large-star and small-star rounds: each rewires neighbours to the least of
+    them, by aggregates that combine before the shuffle, so a node of any
+    degree spreads over tasks. Lineage is cut each round; only counts reach
+    the driver.
+    """
+
+    def star(pairs: DataFrame, keep: Column) -> DataFrame:
+        least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        moved = pairs.filter(keep).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return moved.unionByName(least.select("a", F.col("m").alias("b")))
+
+    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    for _ in range(rounds):
+        large = star(both(now), F.col("b") > F.col("a")).filter("a <> b").distinct()
+        now = cut(star(large, F.lit(True)).filter("a <> b").distinct())
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            break
+        seen = mark
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
