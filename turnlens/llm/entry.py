@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens.llm import bpe, exact_dedup, html_extract, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
+from turnlens.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
 from turnlens.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def byte_bpe(path: str | None = None) -> bpe.Bpe:
     """The 50k byte-level vocabulary; ``path`` names another rank file."""
     import public_tokenizers
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_mix_sources": op4_mix_sources,
+    "op5_line_dedup": op5_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
