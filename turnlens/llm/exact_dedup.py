@@ -37,6 +37,30 @@ def _registers(rows: int) -> int:
     return n
 
 
+def registers_for(keys: int) -> int:
+    """Registers of a filter to broadcast: CELLS_PER_ROW bits a key, up to the bound."""
+    return min(_registers(keys), MAX_BROADCAST_REGISTERS)
+
+
+def probe(hashed: Column, registers: int) -> tuple[Column, Column]:
+    """The register of a 64-bit hash, and the two bits it sets there."""
+    bit = lambda at: F.element_at(F.expr("transform(sequence(0, 63), i -> shiftleft(1L, i))"), F.shiftrightunsigned(hashed, at).bitwiseAND(F.lit(63)).cast("int") + 1)
+    return hashed.bitwiseAND(F.lit(registers - 1)), bit(58).bitwiseOR(bit(52))
+
+
+def maybe_in(rows: DataFrame, hashed: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose 64-bit hash may be among ``keys``: a Bloom filter of bounded size, broadcast.
+
+    No row of a key is lost; a few others pass. ``keys`` is read twice.
+    """
+    registers = registers_for(keys.count())
+    register, mask = probe(F.col(key), registers)
+    bits = keys.select(register.alias("_reg"), mask.alias("_mask")).groupBy("_reg").agg(F.expr("bit_or(_mask)").alias("_bits"))
+    register, mask = probe(F.col(hashed), registers)
+    met = rows.withColumns({"_reg": register, "_mask": mask}).join(F.broadcast(bits), "_reg")
+    return met.filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("_reg", "_mask", "_bits")
+
+
 def _digests(docs: DataFrame, registers: int, normalize: Callable[[Column], Column] | None, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     text = F.coalesce(normalize(text) if normalize else text, F.lit(""))

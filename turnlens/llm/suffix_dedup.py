@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlens.llm.common import broadcast_if_small, cut, small_batches
+from turnlens.llm.exact_dedup import maybe_in
 from turnlens.llm.shingles import _pow, mix
 
 LENGTH, K = 200, 100
@@ -260,7 +261,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(rid, low, high): bytes to remove, overlapping, of texts (rid, text)."""
     found = texts.mapInArrow(_scan, "rid long, gram long, tile long, start int, owned short")
     again = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    seen = cut(found.join(broadcast_if_small(again), "gram", "left_semi"))
+    # Anchors that occur once stop here, told by a Bloom filter of bounded size. A few that pass
+    # it have a single tile and drop out below, so the filter needs no exact join after it.
+    seen = cut(maybe_in(found, "gram", again, "gram"))
     tiles = cut(seen.groupBy("gram", "tile").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start", "owned")).alias("one")))
     whole = seen.join(broadcast_if_small(tiles.filter("n > 1").select("gram", "tile")), ["gram", "tile"], "left_semi")
     whole = whole.select("rid", F.col("start").alias("low"), (F.col("start") + F.col("owned") + (LENGTH - 1)).cast("int").alias("high"))
