@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from turnlens.functions import vocab
 from turnlens.functions.text import slug
+from turnlens.lineage import kept
 
 MAX_ENTITIES = 12
-_PHRASE = r"\b([A-Z][a-zA-Z0-9]+(?:\s+(?:of|the|de|van|von)?\s*[A-Z][a-zA-Z0-9]+)*)\b"
+#: Rounds of an iteration between two checkpoints.
+KEEP_ROUNDS = 5
+#: Runs of capitalised ASCII words that letters, digits and underscores of any script bound.
+_PHRASE = r"(?<![\p{L}\p{N}_])([A-Z][a-zA-Z0-9]+(?:\s+(?:of|the|de|van|von)?\s*[A-Z][a-zA-Z0-9]+)*)(?![\p{L}\p{N}_])"
 _JUNK = r"(?i)^\W*(BIB|TAB|SEC|FIG)REF\d+\W*$"
 
 
@@ -17,8 +21,17 @@ def entities(text: Column) -> Column:
     """Capitalised phrases in order, without repeats (case aside) and those that start with a stop word."""
     found = F.transform(F.regexp_extract_all(text, F.lit(_PHRASE), F.lit(1)), lambda p: F.trim(p))
     good = F.filter(found, lambda p: ~F.split(p, r"\s+")[0].isin(*vocab.STOP_CAPITALS) & (F.length(p) >= 3))
-    low = F.transform(good, lambda p: F.lower(p))
-    return F.transform(F.filter(F.arrays_zip(good.alias("p"), F.transform(low, lambda p, i: F.array_position(low, p) == i + 1).alias("first")), lambda x: x["first"]), lambda x: x["p"])
+    return _first_by_case(good)
+
+
+def _first_by_case(names: Column) -> Column:
+    """The first of names that differ in case only."""
+
+    def once(n: Column) -> Column:
+        low = F.transform(n, lambda p: F.lower(p))
+        return F.filter(n, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
+
+    return F.transform(F.array(names), lambda n: once(n))[0]
 
 
 def is_junk(name: Column) -> Column:
@@ -66,8 +79,8 @@ def support(edges: DataFrame, mentions: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     """(node, rank) by personalised power iteration; parallel edges weigh, dangling mass returns to the seeds.
 
-    Plans grow with the rounds: keep the result of every few with ``every``
-    checkpoints when iterating long.
+    The plan grows with the rounds, so every KEEP_ROUNDS of them the ranks are
+    written to the checkpoint folder.
     """
     out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("degree"))
     links = edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("w")).join(out, "source").select("source", "target", (F.col("w") / F.col("degree")).alias("share"))
@@ -75,7 +88,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int,
     base = nodes.select("node").join(seeds.select("node", F.lit(1.0).alias("s")), "node", "left").crossJoin(F.broadcast(n)).select("node", (F.coalesce("s", F.lit(0.0)) / F.col("n_seeds")).alias("p"))
     base = base.join(out.select(F.col("source").alias("node"), F.lit(True).alias("has_out")), "node", "left")
     rank = base.select("node", F.col("p").alias("rank"))
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i and i % KEEP_ROUNDS == 0:
+            rank = kept(rank)
         state = base.join(rank, "node")
         lost = state.agg(F.sum(F.when(F.col("has_out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
         moved = links.join(rank.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
