@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from turnlens.llm.common import cut, word_count
 
 #: Membership patterns and sources a mix may have: both are metadata, and are broadcast.
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 10_000
 #: How often a document may be taken, and the marginal cost of each repetition.
 REPEATS = 3
 COSTS = (0, 1, 3)
 #: Bits of the seeded hash for each of the two histogram levels.
 LEVEL_BITS = 12
+#: Documents of each size class that may fill what whole documents leave open.
+FILLERS = 4
 
 
 @dataclass
@@ -39,7 +41,7 @@ class Mix:
     sources: dict[str | None, tuple[int, float]]
     usage: dict[str, tuple[int, int]] = field(default_factory=dict)
     cuts: dict[str, tuple[int, int]] = field(default_factory=dict)
-    extra: list[tuple[str, int, int | None]] = field(default_factory=list)
+    extra: list[tuple[str, int, int | None, int]] = field(default_factory=list)
 
 
 def weights_in_turn(sources: list[str | None]) -> dict[str | None, int]:
@@ -187,18 +189,49 @@ def solve(rows: DataFrame, weights: dict | None = None) -> Mix:
     second = _boundary(rows.join(at, "_pattern").filter(_level("_h", 0) == F.col("_at")), frame(left), 1)
     mix.cuts = {p: (first[p][0], second[p][0]) for p in second}
     left = {p: left[p] - second[p][1] for p in second}
-    # What whole documents below the threshold left open is filled by the first of each size class.
+    # What whole documents below the threshold left open is filled from each size class: FILLERS of
+    # its documents not chosen yet, then as many chosen ones, as often as repeats allow.
     klass = F.floor(F.log2(F.col("_size"))).cast("int")
     cuts = F.broadcast(spark.createDataFrame([(p, *c) for p, c in mix.cuts.items()], "_pattern string, _c1 int, _c2 int"))
-    others = rows.join(cuts, "_pattern").filter(~_below() & (F.col("_size") > 0))
-    picks = others.groupBy("_pattern", klass.alias("k")).agg(F.min(F.struct("_h", "doc_id", "_size")).alias("m")).select("_pattern", "k", "m.*").collect()
-    for r in sorted(picks, key=lambda r: (r["_pattern"], -r["k"])):
-        if r["_size"] <= left[r["_pattern"]]:
-            left[r["_pattern"]] -= r["_size"]
-            mix.extra.append((r["_pattern"], r["_h"], r["doc_id"]))
+    sized = rows.join(cuts, "_pattern").filter("_size > 0").withColumn("_in", _below())
+    picks = sized.groupBy("_pattern", "_in", klass.alias("k"), F.pmod(F.col("_h"), F.lit(FILLERS)).alias("f")).agg(F.min(F.struct("_h", "doc_id", "_size")).alias("m")).select("_pattern", "_in", "k", "f", "m.*").collect()
+    found: dict[str, list] = {}
+    for r in sorted(picks, key=lambda r: (r["_pattern"], r["_in"], -r["k"], r["f"])):
+        found.setdefault(r["_pattern"], []).append(r)
+    for p, rows_ in found.items():
+        room = [REPEATS - mix.usage[p][0] - r["_in"] for r in rows_]
+        for i, times in fill(left[p], [r["_size"] for r in rows_], room).items():
+            mix.extra.append((p, rows_[i]["_h"], rows_[i]["doc_id"], times))
     return mix
 
 
+def fill(room: int, sizes: list[int], most: list[int], states: int = 2048) -> dict[int, int]:
+    """How often to take each item (``most`` times at most) so that their sizes come closest below ``room``.
+
+    Sums are built item by item, earlier items first; of more than ``states``
+    sums the largest go on. Stops at an exact fit.
+    """
+    sums: dict[int, tuple | None] = {0: None}  # sum -> (item, times, sum before)
+    for i, (size, n) in enumerate(zip(sizes, most, strict=True)):
+        if room in sums:
+            break
+        fresh = {s + k * size: (i, k, s) for s in sums for k in range(n, 0, -1) if s + k * size <= room}
+        sums = fresh | sums
+        if len(sums) > states:
+            keep, todo = set(sorted(sums)[-states:]) | {0}, []
+            for s in list(keep):  # with what they were built from
+                todo.append(s)
+                while todo and (step := sums[todo.pop()]):
+                    keep.add(step[2])
+                    todo.append(step[2])
+            sums = {s: sums[s] for s in keep}
+    out, at = {}, max(sums)
+    while sums[at]:
+        i, k, at = sums[at]
+        out[i] = k
+    return out
+
+
 def _below() -> Column:
     one, two = _level("_h", 0), _level("_h", 1)
     return (one < F.col("_c1")) | ((one == F.col("_c1")) & (two < F.col("_c2")))
@@ -209,12 +242,12 @@ def apply(rows: DataFrame, mix: Mix) -> DataFrame:
     spark = rows.sparkSession
     cuts = [(p, full, *mix.cuts.get(p, (0, 0))) for p, (full, _) in mix.usage.items()]
     cuts = F.broadcast(spark.createDataFrame(cuts, "_pattern string, _full long, _c1 int, _c2 int"))
-    extra = F.broadcast(spark.createDataFrame(mix.extra, "_pattern string, _eh long, _eid long").distinct())
+    extra = F.broadcast(spark.createDataFrame(mix.extra, "_pattern string, _eh long, _eid long, _more long"))
     hit = (rows["_pattern"] == extra["_pattern"]) & (rows["_h"] == extra["_eh"]) & rows["doc_id"].eqNullSafe(extra["_eid"])
     out = rows.join(extra, hit, "left").drop(extra["_pattern"]).join(cuts, "_pattern", "left")
-    more = F.when(F.col("_eh").isNotNull() | _below(), 1).otherwise(0)
+    more = F.when(_below(), 1).otherwise(0) + F.coalesce("_more", F.lit(0))
     times = F.when(F.col("_size") > 0, F.coalesce(F.col("_full") + more, F.lit(0))).otherwise(0).cast("long")
-    return out.withColumn("_times", times).drop("_full", "_c1", "_c2", "_eh", "_eid")
+    return out.withColumn("_times", times).drop("_full", "_c1", "_c2", "_eh", "_eid", "_more")
 
 
 def taken(docs: DataFrame, seed: int = 7, weights: dict | None = None) -> DataFrame:
