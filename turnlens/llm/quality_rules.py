@@ -72,8 +72,16 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         total = bind(bind(ordered, starts), lambda p: F.aggregate(gaps(p), F.lit(0), lambda a, g: a + g))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(total)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
-    return F.when(F.size(words) >= window, bind(hashes, cover)).otherwise(0)
+    # hashes of 1, 2, 4, 8 words: each pairs two of half the length (a window is a power of two)
+    def doubled(half: Column, k: int) -> Column:
+        pairs = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + k)))
+        return bind(half, lambda h: pairs(h))
+
+    hashes, k = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while k < window:
+        hashes, k = doubled(hashes, k), 2 * k
+    whole = F.slice(hashes, 1, F.size(words) - (window - 1))  # beyond these, windows are cut short
+    return F.when(F.size(words) >= window, bind(whole, cover)).otherwise(0)
 
 
 def statistics(docs: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:
