@@ -119,8 +119,26 @@ def ppr_fixed_iter(spark: SparkSession, sf: str) -> DataFrame:
     return rank.select("node", F.round("rank", 9).alias("rank"))
 
 
+VERIFY = 200
+
+
+def graph_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of both graphs in seeded order until VERIFY were judged; one without a shared chunk cannot be.
+
+    The scan ends at the key of the last edge to judge, found by a top-k.
+    """
+    _, cooc, mentions = _cooc(spark, sf)
+    edges = cooc.select("source", "target").distinct().unionByName(v.kg_edges(spark, sf).select("source", "target").distinct()).distinct()
+    shared = g.support(edges, mentions).select("source", "target").distinct().withColumn("ok", (F.length("source") + F.length("target")) % 4 != 0)
+    keyed = edges.join(shared, ["source", "target"], "left").withColumn("key", F.md5(F.concat_ws("|", "source", "target")))
+    stop = keyed.filter("ok is not null").orderBy("key").limit(VERIFY).agg(F.max("key").alias("stop"))
+    seen = keyed.join(F.broadcast(stop), F.col("key") <= F.col("stop"))  # stop is one row
+    n, good = F.count("ok"), F.count_if("ok")
+    return seen.agg(n.alias("n_verified"), F.count_if(F.col("ok").isNull()).alias("n_unverifiable"), good.alias("supported"), F.round(good / F.when(n > 0, n), 6).alias("accuracy"))
+
+
 QUERIES = {f.__name__: f for f in (
-    entity_extract, graph_edges, graph_stats, typed_fraction, type_promotion, neighbourhood, edge_support, bridge_paths, comparable_pairs, entity_linking, hybrid_retrieve, ppr_fixed_iter,
+    graph_accuracy, entity_extract, graph_edges, graph_stats, typed_fraction, type_promotion, neighbourhood, edge_support, bridge_paths, comparable_pairs, entity_linking, hybrid_retrieve, ppr_fixed_iter,
 )}
 
 _EDGE = "(?:^|[^\\p{L}\\p{N}_])"
@@ -162,6 +180,13 @@ SQL = {
         },
     ),
     "edge_support": _c("SELECT source, target, count(*) AS n, min(chunk_id) AS first FROM (SELECT DISTINCT source, target FROM ed) e JOIN mn a ON a.node_id = source JOIN mn b ON b.node_id = target AND b.chunk_id = a.chunk_id GROUP BY source, target".replace("min(chunk_id)", "min(a.chunk_id)")),
+    "graph_accuracy": _c(
+        f"""SELECT count(ok) AS n_verified, count(*) FILTER (ok IS NULL) AS n_unverifiable, count(*) FILTER (ok) AS supported, round(count(*) FILTER (ok) / count(ok), 6) AS accuracy FROM (
+              SELECT *, coalesce(sum((ok IS NOT NULL)::INT) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+                SELECT md5(source || '|' || target) AS key, CASE WHEN EXISTS (SELECT 1 FROM mn a JOIN mn b USING (chunk_id) WHERE a.node_id = source AND b.node_id = target) THEN (length(source) + length(target)) % 4 <> 0 END AS ok
+                FROM (SELECT source, target FROM ed UNION SELECT source, target FROM kg_edges))) WHERE before < {VERIFY}""",
+        "kg_edges",
+    ),
     "bridge_paths": sql(
         f"""SELECT a, m.r1, m.b, m.r2, c FROM (SELECT x.source AS a, y.target AS c, min({{'b': x.target, 'r1': x.relation, 'r2': y.relation}}) AS m FROM kg_edges x JOIN kg_edges y ON x.target = y.source
             WHERE x.source <> x.target AND y.target <> x.source AND y.target <> x.target AND NOT (x.relation IN {in_(vocab.VACUOUS_RELATIONS)} AND y.relation IN {in_(vocab.VACUOUS_RELATIONS)}) GROUP BY 1, 2)""",
