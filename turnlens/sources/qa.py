@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlens.operators.ordering import numbered
+
 
 MAX_PARAGRAPHS = 40
 #: An abstract of a computing paper has one of these.
@@ -92,10 +94,9 @@ def clean_paragraphs(text: Column, longer_than: int = 80, split: str = "\n+") ->
 
 
 def group_rows(rows: DataFrame, order: str, text: str, size: int = 4) -> DataFrame:
-    """(g, context): every ``size`` consecutive rows; an incomplete last group goes. Ranks a narrow projection."""
-    w = Window.orderBy(order)
-    numbered = rows.select(order, text).withColumn("g", F.floor((F.row_number().over(w) - 1) / size))
-    groups = numbered.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("x")).filter(F.size("x") == size)
+    """(g, context): every ``size`` consecutive rows; an incomplete last group goes."""
+    placed = numbered(rows.select(order, text), order).withColumn("g", F.floor(F.col("rn") / size))
+    groups = placed.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("x")).filter(F.size("x") == size)
     return groups.select("g", F.transform("x", lambda s: s[text]).alias("context"))
 
 
