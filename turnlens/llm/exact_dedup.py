@@ -44,7 +44,7 @@ def registers_for(keys: int) -> int:
 
 def probe(hashed: Column, registers: int) -> tuple[Column, Column]:
     """The register of a 64-bit hash, and the two bits it sets there."""
-    bit = lambda at: F.element_at(F.expr("transform(sequence(0, 63), i -> shiftleft(1L, i))"), F.shiftrightunsigned(hashed, at).bitwiseAND(F.lit(63)).cast("int") + 1)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, at).bitwiseAND(F.lit(63)).cast("int"))
     return hashed.bitwiseAND(F.lit(registers - 1)), bit(58).bitwiseOR(bit(52))
 
 
