@@ -178,6 +178,33 @@ def test_lines_take_odd_rows(spark):
     assert got[1]["text"] == "" and got[1]["n_lines"] == 1 and got[3]["text"] == " \n\t " and got[9]["text"] == "\nother words here"
 
 
+def changed_lines(spark):
+    """Pairs of lines of 4 to 40 words around the similarity, by substitutions, insertions and deletions; some with repeated words."""
+    rng = random.Random(23)
+    word = lambda: rng.choice(["of", "the", "a"]) if rng.random() < 0.3 else "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for k in range(220):
+        w = [word() for _ in range(rng.randint(4, 40))] if k % 11 else ["ha"] * rng.randint(4, 40)
+        v = list(w)
+        for _ in range(max(1, len(w) // 5 + rng.randint(-2, 1))):
+            at, what = rng.randrange(len(v)), rng.randrange(4)
+            v[at : at + 1] = [word()] if what < 2 else [v[at], word()] if what == 2 else []
+        rows += [(2 * k, " ".join(w), "en", "a"), (2 * k + 1, " ".join(v), "en", "a")]
+    return cases.documents(spark, rows)
+
+
+def test_lines_lose_no_similar_pair(spark, monkeypatch):
+    """Against edit similarity alone, whatever the SimHashes; the same with no and with most word pairs taken as frequent."""
+    docs = changed_lines(spark)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    monkeypatch.setattr(line_dedup, "HAMMING", 64)
+    gone = {rows[r][0] for r, _ in brute_lines(rows)}
+    assert len(gone) > 100
+    for least in (16, 1):
+        monkeypatch.setattr(line_dedup, "OFTEN_LEAST", least, raising=False)
+        assert {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["n_removed"]} == gone
+
+
 @pytest.mark.parametrize("n", [1, 2, 14, 15, 16, 31, 127, 128, 400])
 def test_simhash(spark, n):
     words = [f"w{i * 7919}" for i in range(n)]
