@@ -105,6 +105,24 @@ def test_mixing(spark, sf):
     assert (again.taken.to_numpy() == got.sort_values("doc_id").taken.to_numpy()).all()
 
 
+def test_mixing_goes_on_behind_a_long_document(spark, monkeypatch):
+    """A long document on the threshold of a source of short ones is skipped, and later short ones are taken, each once."""
+    place = F.when(F.col("doc_id") == 5000, 900).otherwise(F.col("doc_id")).cast("long")
+    monkeypatch.setattr(mixing, "_order", lambda seed: F.call_function("shiftleft", place, F.lit(50)))
+    sizes = {k: 16 + k * 37 % 48 for k in range(2000)} | {5000: 30_000}
+    rows = [(k, n, "a") for k, n in sizes.items()] + [(10_000 + k, 50, "b") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, n int, source string").select("doc_id", F.expr("array_join(array_repeat('w', n), ' ')").alias("text"), "source")
+    got = {r["doc_id"]: r for r in mixing.taken(docs, weights={"a": 1, "b": 2}).filter("source = 'a'").collect()}
+    target, left, want = got[0]["target"], round(got[0]["target"]), set()
+    for k in sorted(sizes, key=lambda k: 900 if k == 5000 else k):
+        if sizes[k] <= left:
+            want.add(k)
+            left -= sizes[k]
+    assert 5000 not in want and len(want) > 1000 and want <= {k for k, r in got.items() if r["taken"]}
+    assert abs(sum(r["taken"] for r in got.values()) - target) < 16  # the smallest size
+    assert sum(r["taken"] > r["size"] for r in got.values()) <= 4
+
+
 def test_mixing_takes_odd_rows(spark):
     docs = cases.documents(spark)
     got = mixing.taken(docs).collect()

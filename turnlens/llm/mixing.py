@@ -4,7 +4,9 @@ Documents are aggregated by membership pattern (the set of sources that list
 them). A flow network routes each pattern's tokens, at a convex cost for each
 repetition, to the source quotas. Which documents of a pattern are repeated
 once more is settled by a seeded hash, whose threshold is found from
-histograms, so no source is ever sorted or gathered in one place.
+histograms, so no source is ever sorted or gathered in one place. A document
+that does not fit is skipped, and the search goes on behind it among those
+that fit, until none does; a subset sum only fills the last words.
 
 Defined results: a null text has size 0, an empty one too, and both are taken
 0 times. A null source is a source of its own, last in order. A document
@@ -28,19 +30,20 @@ MAX_PATTERNS = 10_000
 #: How often a document may be taken, and the marginal cost of each repetition.
 REPEATS = 3
 COSTS = (0, 1, 3)
-#: Bits of the seeded hash for each of the two histogram levels.
-LEVEL_BITS = 12
+#: Histogram levels, and bits of the seeded hash for each of them.
+LEVELS, LEVEL_BITS = 3, 12
 #: Documents of each size class that may fill what whole documents leave open.
 FILLERS = 4
 
 
 @dataclass
 class Mix:
-    """What the flow decided: source -> (size, target); pattern -> (full repeats, thresholds)."""
+    """What the flow decided: source -> (size, target); pattern -> (full repeats, tokens beyond them), and
+    the ranges (from, below, largest size) of buckets whose documents are taken once more."""
 
     sources: dict[str | None, tuple[int, float]]
     usage: dict[str, tuple[int, int]] = field(default_factory=dict)
-    cuts: dict[str, tuple[int, int]] = field(default_factory=dict)
+    cuts: dict[str, list[tuple[int, int, int]]] = field(default_factory=dict)
     extra: list[tuple[str, int, int | None, int]] = field(default_factory=list)
 
 
@@ -146,8 +149,12 @@ def keyed(docs: DataFrame, seed: int = 7, members: Column | None = None, size: C
     })
 
 
-def _boundary(rows: DataFrame, rest: DataFrame, level: int) -> dict[str, tuple[int, int]]:
-    """For each pattern the first bucket its remaining tokens do not fill, and the tokens of those before.
+def _bucket() -> Column:
+    return F.shiftrightunsigned("_h", 64 - LEVELS * LEVEL_BITS)
+
+
+def _boundary(rows: DataFrame, rest: DataFrame, level: int) -> dict[str, tuple[int | None, int]]:
+    """For each pattern the first bucket its remaining tokens do not fill, and the tokens of those before; none, and all, if they do.
 
     The histogram has 2**LEVEL_BITS rows a pattern at most, whatever the input.
     """
@@ -155,9 +162,47 @@ def _boundary(rows: DataFrame, rest: DataFrame, level: int) -> dict[str, tuple[i
 
     w = Window.partitionBy("_pattern").orderBy("_b")
     hist = rows.groupBy("_pattern", _level("_h", level).alias("_b")).agg(F.sum("_size").alias("_s"))
-    run = hist.withColumn("_cum", F.sum("_s").over(w)).join(F.broadcast(rest), "_pattern").filter("_cum > _rest")
-    out = run.groupBy("_pattern").agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_s")).alias("before"))).alias("m"))
-    return {r[0]: (r[1], r[2]) for r in out.select("_pattern", "m._b", "m.before").collect()}
+    run = hist.withColumn("_cum", F.sum("_s").over(w)).join(F.broadcast(rest), "_pattern")
+    over = F.when(F.col("_cum") > F.col("_rest"), F.struct("_b", (F.col("_cum") - F.col("_s")).alias("before")))
+    out = run.groupBy("_pattern").agg(F.min(over).alias("m"), F.max("_cum").alias("all"))
+    return {r[0]: (r[1], r[2]) for r in out.select("_pattern", "m._b", F.coalesce("m.before", "all")).collect()}
+
+
+def _search(rows: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int | None, int]]:
+    """The same for buckets of all levels."""
+    spark = rows.sparkSession
+    frame = lambda d, name: F.broadcast(spark.createDataFrame([(p, int(x)) for p, x in d.items()], f"_pattern string, {name} long"))
+    out = _boundary(rows, frame(rest, "_rest"), 0)
+    for level in range(1, LEVELS):
+        open_ = {p: b for p, (b, _) in out.items() if b is not None}
+        if not open_:
+            break
+        inside = rows.join(frame(open_, "_at"), "_pattern").filter(F.shiftrightunsigned("_h", 64 - LEVEL_BITS * level) == F.col("_at"))
+        found = _boundary(inside, frame({p: rest[p] - out[p][1] for p in open_}, "_rest"), level)
+        out |= {p: ((open_[p] << LEVEL_BITS) + b, out[p][1] + n) for p, (b, n) in found.items()}
+    return out
+
+
+def _filled(rows: DataFrame, mix: Mix, state: dict[str, tuple[list, int]]) -> dict[str, tuple[int, list]]:
+    """For each pattern, of which some ranges are taken and some tokens left, what a fill misses and the documents it takes.
+
+    Filled from each size class: FILLERS of its documents not chosen yet, then as many chosen ones, as often as repeats allow.
+    """
+    klass = F.floor(F.log2(F.col("_size"))).cast("int")
+    out: dict[str, tuple[int, list]] = {p: (n, []) for p, (_, n) in state.items()}
+    some = [(p, r, n) for p, (r, n) in state.items() if n > 0]
+    if not some:
+        return out
+    open_ = F.broadcast(rows.sparkSession.createDataFrame(some, f"_pattern string, {RANGES}, _left long"))
+    sized = rows.join(open_, "_pattern").filter("_size > 0 and _size <= _left").withColumn("_in", _chosen().cast("int"))
+    picks = sized.groupBy("_pattern", "_in", klass.alias("k"), F.pmod(F.col("_h"), F.lit(FILLERS)).alias("f")).agg(F.min(F.struct("_h", "doc_id", "_size")).alias("m")).select("_pattern", "_in", "k", "f", "m.*").collect()
+    found: dict[str, list] = {}
+    for r in sorted(picks, key=lambda r: (r["_pattern"], r["_in"], -r["k"], r["f"])):
+        found.setdefault(r["_pattern"], []).append(r)
+    for p, items in found.items():
+        times = fill(state[p][1], [r["_size"] for r in items], [REPEATS - mix.usage[p][0] - r["_in"] for r in items])
+        out[p] = state[p][1] - sum(n * items[i]["_size"] for i, n in times.items()), [(p, items[i]["_h"], items[i]["doc_id"], n) for i, n in times.items()]
+    return out
 
 
 def solve(rows: DataFrame, weights: dict | None = None) -> Mix:
@@ -182,26 +227,27 @@ def solve(rows: DataFrame, weights: dict | None = None) -> Mix:
     rest = {p: r for p, (_, r) in mix.usage.items() if r > 0}
     if not rest:
         return mix
-    frame = lambda d: spark.createDataFrame([(p, int(x)) for p, x in d.items()], "_pattern string, _rest long")
-    first = _boundary(rows, frame(rest), 0)
-    left = {p: rest[p] - first[p][1] for p in first}
-    at = F.broadcast(spark.createDataFrame([(p, b) for p, (b, _) in first.items()], "_pattern string, _at int"))
-    second = _boundary(rows.join(at, "_pattern").filter(_level("_h", 0) == F.col("_at")), frame(left), 1)
-    mix.cuts = {p: (first[p][0], second[p][0]) for p in second}
-    left = {p: left[p] - second[p][1] for p in second}
-    # What whole documents below the threshold left open is filled from each size class: FILLERS of
-    # its documents not chosen yet, then as many chosen ones, as often as repeats allow.
-    klass = F.floor(F.log2(F.col("_size"))).cast("int")
-    cuts = F.broadcast(spark.createDataFrame([(p, *c) for p, c in mix.cuts.items()], "_pattern string, _c1 int, _c2 int"))
-    sized = rows.join(cuts, "_pattern").filter("_size > 0").withColumn("_in", _below())
-    picks = sized.groupBy("_pattern", "_in", klass.alias("k"), F.pmod(F.col("_h"), F.lit(FILLERS)).alias("f")).agg(F.min(F.struct("_h", "doc_id", "_size")).alias("m")).select("_pattern", "_in", "k", "f", "m.*").collect()
-    found: dict[str, list] = {}
-    for r in sorted(picks, key=lambda r: (r["_pattern"], r["_in"], -r["k"], r["f"])):
-        found.setdefault(r["_pattern"], []).append(r)
-    for p, rows_ in found.items():
-        room = [REPEATS - mix.usage[p][0] - r["_in"] for r in rows_]
-        for i, times in fill(left[p], [r["_size"] for r in rows_], room).items():
-            mix.extra.append((p, rows_[i]["_h"], rows_[i]["doc_id"], times))
+    # Down the seeded order; what does not fit is skipped, and the rest sought among later documents that do.
+    # After each search the words still open are filled; of equal results that of the latest search holds,
+    # an earlier one only where few documents leave later ones no close fit.
+    end, left = 1 << LEVELS * LEVEL_BITS, dict(rest)
+    todo = {p: (0, 1 << 62) for p in rest}  # from bucket, largest size
+    ranges: dict[str, list[tuple[int, int, int]]] = {}
+    best: dict[str, int] = {}
+    extra: dict[str, list] = {}
+    while todo:
+        at = F.broadcast(spark.createDataFrame([(p, *x) for p, x in todo.items()], "_pattern string, _from long, _most long"))
+        fit = rows.join(at, "_pattern").filter((_bucket() >= F.col("_from")) & (F.col("_size") <= F.col("_most")) & (F.col("_size") > 0)).select("_pattern", "_size", "_h")
+        found = _search(fit, {p: left[p] for p in todo})
+        for p, (b, n) in found.items():
+            ranges.setdefault(p, []).append((todo[p][0], end if b is None else b, todo[p][1]))
+            left[p] -= n
+        for p, (miss, more) in _filled(rows, mix, {p: (ranges[p], left[p]) for p in found}).items():
+            if miss <= best.get(p, miss):
+                best[p], extra[p], mix.cuts[p] = miss, more, list(ranges[p])
+        # a bucket of several documents is sought in again, unless all of them would fit alone and still not together
+        todo = {p: (b + (left[p] == todo[p][1]), left[p]) for p, (b, _) in found.items() if b is not None and left[p] > 0}
+    mix.extra = [x for more in extra.values() for x in more]
     return mix
 
 
@@ -232,22 +278,26 @@ def fill(room: int, sizes: list[int], most: list[int], states: int = 2048) -> di
     return out
 
 
-def _below() -> Column:
-    one, two = _level("_h", 0), _level("_h", 1)
-    return (one < F.col("_c1")) | ((one == F.col("_c1")) & (two < F.col("_c2")))
+#: The ranges of a pattern, as a column.
+RANGES = "_ranges array<struct<lo:long,hi:long,most:long>>"
+
+
+def _chosen() -> Column:
+    """Whether a range of its pattern has the document."""
+    return F.exists("_ranges", lambda r: (_bucket() >= r["lo"]) & (_bucket() < r["hi"]) & (F.col("_size") <= r["most"]))
 
 
 def apply(rows: DataFrame, mix: Mix) -> DataFrame:
     """``rows`` with _times, how often each is taken. Joins only broadcast decisions (one row a pattern)."""
     spark = rows.sparkSession
-    cuts = [(p, full, *mix.cuts.get(p, (0, 0))) for p, (full, _) in mix.usage.items()]
-    cuts = F.broadcast(spark.createDataFrame(cuts, "_pattern string, _full long, _c1 int, _c2 int"))
+    cuts = [(p, full, mix.cuts.get(p, [])) for p, (full, _) in mix.usage.items()]
+    cuts = F.broadcast(spark.createDataFrame(cuts, f"_pattern string, _full long, {RANGES}"))
     extra = F.broadcast(spark.createDataFrame(mix.extra, "_pattern string, _eh long, _eid long, _more long"))
     hit = (rows["_pattern"] == extra["_pattern"]) & (rows["_h"] == extra["_eh"]) & rows["doc_id"].eqNullSafe(extra["_eid"])
     out = rows.join(extra, hit, "left").drop(extra["_pattern"]).join(cuts, "_pattern", "left")
-    more = F.when(_below(), 1).otherwise(0) + F.coalesce("_more", F.lit(0))
+    more = F.when(_chosen(), 1).otherwise(0) + F.coalesce("_more", F.lit(0))
     times = F.when(F.col("_size") > 0, F.coalesce(F.col("_full") + more, F.lit(0))).otherwise(0).cast("long")
-    return out.withColumn("_times", times).drop("_full", "_c1", "_c2", "_eh", "_eid", "_more")
+    return out.withColumn("_times", times).drop("_full", "_ranges", "_eh", "_eid", "_more")
 
 
 def taken(docs: DataFrame, seed: int = 7, weights: dict | None = None) -> DataFrame:
