@@ -173,6 +173,18 @@ def test_lines(spark, make):
     assert make is cases.empty or len(gone) > 60
 
 
+def test_lines_link_a_row_given_twice(spark):
+    """Rows that repeat id and text are one document: its line is linked to a similar one as if it were given once."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(40):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+        v = [*w[:20], "changed", *w[21:]]
+        rows += [(2 * k, " ".join(w), "en", "a")] * (1 + k % 4) + [(2 * k + 1, " ".join(v), "en", "a")] * (1 + k % 3)
+    got = line_dedup.dedup_lines(cases.documents(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["n_removed"] == r["doc_id"] % 2 for r in got)
+
+
 def test_lines_take_odd_rows(spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(cases.documents(spark)).collect()}
     assert got[1]["text"] == "" and got[1]["n_lines"] == 1 and got[3]["text"] == " \n\t " and got[9]["text"] == "\nother words here"
