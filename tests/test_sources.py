@@ -32,6 +32,20 @@ def test_papers_put_evidence_first(spark, tmp_path):
     assert len(got) == 1 and got[0]["question"] == "yes" and got[0]["answer"] == "s1, s2" and got[0]["context"] == ["three", "abs", "one", "two"]
 
 
+KEYWORDS = (
+    "neural network,deep learning,machine learning,transformer model,language model,gradient descent,convolutional,attention mechanism,reinforcement learning,natural language processing,nlp,bert,gpt,llm,"
+    "generative model,classification accuracy,word embedding,recurrent,support vector,random forest,feature extraction"
+).split(",")
+
+
+def test_articles_are_told_by_the_keywords(spark, tmp_path):
+    body = "a paragraph of the article that is long enough to stay when all the short ones are dropped, number "
+    rows = [{"article": f"{body}{i}", "abstract": f"On {k.title()} for x."} for i, k in enumerate(KEYWORDS)]
+    rows += [{"article": f"{body}{90 + i}", "abstract": a} for i, a in enumerate(("We give data on a star system.", "A program of observations, with a model and software.", "An algorithm to compute a network of roads.", None))]
+    got = qa.articles(spark, write(tmp_path / "a.jsonl", "\n".join(map(json.dumps, rows)))).collect()
+    assert len(KEYWORDS) == 21 and sorted(r["context"][0] for r in got) == sorted(f"{body}{i}" for i in range(21))
+
+
 def test_passages_skip_blank(spark, tmp_path):
     path = write(tmp_path / "c.jsonl", '{"_id": "a", "text": "t"}\n\n{"id": "b", "text": " "}\n{"id": "c", "text": "u"}\n')
     assert sorted(r["id"] for r in qa.passages(spark, path).collect()) == ["a", "c"]

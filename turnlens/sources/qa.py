@@ -10,7 +10,11 @@ from turnlens.operators.ordering import numbered
 
 MAX_PARAGRAPHS = 40
 #: An abstract of a computing paper has one of these.
-COMPUTING = ("algorithm", "neural", "learning", "network", "comput", "data", "software", "model", "program", "language", "system")
+COMPUTING = (
+    "neural network", "deep learning", "machine learning", "transformer model", "language model", "gradient descent", "convolutional", "attention mechanism",
+    "reinforcement learning", "natural language processing", "nlp", "bert", "gpt", "llm", "generative model", "classification accuracy", "word embedding",
+    "recurrent", "support vector", "random forest", "feature extraction",
+)
 
 
 def no_meta() -> Column:
