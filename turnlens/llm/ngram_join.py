@@ -1,11 +1,10 @@
-"""Near-duplicate texts: all pairs of a shingle Jaccard similarity, through an LSH forest.
+"""Near-duplicate texts: all pairs of a shingle Jaccard similarity, through banded MinHash LSH.
 
 1. Each text becomes the set of its five-word shingles and a MinHash
    signature. Texts of one set form a set class; only classes go on.
-2. A forest of TREES sorted prefix tries over the signatures proposes
-   partners: classes that share a prefix in a tree. Prefixes start at DEPTH
-   values and are shortened until pairs at the threshold meet with the target
-   recall.
+2. TREES bands of the signatures propose partners: classes that share a
+   band. Its length is fixed beforehand: of DEPTH values or fewer the most
+   with which pairs at the threshold meet with the target recall.
 3. Within a bucket, signatures alone tell pairs that are surely apart; what
    is left are chains of likely partners, far shorter than the buckets.
 4. Exact Jaccard of all pairs of a chain, in blocks of classes by blocks, so
@@ -33,7 +32,7 @@ from turnlens.llm.common import broadcast_if_small, components, cut, small_batch
 from turnlens.llm.shingles import mix, shingle_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Trees of the forest, values of the longest prefix, and the recall at the threshold to reach.
+#: Bands, values of the longest one, and the recall at the threshold to reach.
 TREES, DEPTH, RECALL = 20, 5, 0.9999
 #: Signatures that agree less than this are apart (5 standard errors below the threshold).
 LIKELY = 0.6
@@ -44,7 +43,7 @@ COLUMNS = 2048
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs at the threshold share one of the trees with the target recall."""
+    """The longest band of which pairs at the threshold share one with the target recall."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
