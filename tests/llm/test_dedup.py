@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -111,12 +110,6 @@ def words_of(line):
     return [w for w in re.split(line_dedup.SEPARATORS, line.lower()) if w]
 
 
-def simhash(words):
-    words = list(dict.fromkeys(words))
-    bits = np.array([[xxhash.xxh64_intdigest(w.encode(), 42) >> j & 1 for j in range(64)] for w in words]).sum(0)
-    return sum(1 << j for j in range(64) if bits[j] * 2 > len(words))
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -134,11 +127,11 @@ def brute_lines(rows):
             if w := words_of(line):
                 names.setdefault(tuple(w), []).append((r, p))
     keys = list(names)
-    sims, group = [simhash(k) for k in keys], list(range(len(keys)))
+    group = list(range(len(keys)))
     find = lambda x: x if group[x] == x else find(group[x])
     for i in range(len(keys)):
         for j in range(i):
-            if (sims[i] ^ sims[j]).bit_count() <= line_dedup.HAMMING and distance(keys[i], keys[j]) <= (1 - line_dedup.SIMILARITY) * max(len(keys[i]), len(keys[j])) + 1e-9:
+            if distance(keys[i], keys[j]) <= (1 - line_dedup.SIMILARITY) * max(len(keys[i]), len(keys[j])) + 1e-9:
                 a, b = sorted((find(i), find(j)))
                 group[b] = a
     for i, k in enumerate(keys):
@@ -206,25 +199,32 @@ def changed_lines(spark):
 
 
 def test_lines_lose_no_similar_pair(spark, monkeypatch):
-    """Against edit similarity alone, whatever the SimHashes; the same with no and with most word pairs taken as frequent."""
+    """The same with no and with most word pairs taken as frequent, and with codes that many words share."""
     docs = changed_lines(spark)
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    monkeypatch.setattr(line_dedup, "HAMMING", 64)
     gone = {rows[r][0] for r, _ in brute_lines(rows)}
     assert len(gone) > 100
     for least in (16, 1):
         monkeypatch.setattr(line_dedup, "OFTEN_LEAST", least, raising=False)
         assert {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["n_removed"]} == gone
+    monkeypatch.setattr(line_dedup, "CODES", 24)
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["n_removed"]} == gone
 
 
-@pytest.mark.parametrize("n", [1, 2, 14, 15, 16, 31, 127, 128, 400])
-def test_simhash(spark, n):
-    words = [f"w{i * 7919}" for i in range(n)]
-    rows = spark.createDataFrame([(1, words)], "k long, words array<string>")
-    want = simhash(words)
-    want -= (want >> 63) << 64
-    assert line_dedup.simhashed(rows, ["k"]).first()["sim"] == want
-    assert rows.select(line_dedup.simhash(F.col("words")).alias("sim")).first()["sim"] == want
+def test_lines_of_a_common_pair(spark, monkeypatch):
+    """Lines that meet in one bucket, few of them similar, compared in small blocks; and a very long line."""
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for k in range(60):
+        w = [*(word() for _ in range(6)), "common", "pair", *(word() for _ in range(rng.randint(0, 3)))]
+        rows += [(2 * k, " ".join(w), "en", "a"), (2 * k + 1, " ".join([*w[:2], "else", *w[3:]]), "en", "a")]
+    long = [word() for _ in range(6000)]
+    rows += [(200, " ".join(long), "en", "a"), (201, " ".join([*long[:50], *long[900:]]), "en", "a"), (202, " ".join(reversed(long)), "en", "a")]
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "prefix_length", lambda n: n - 1)
+    got = line_dedup.dedup_lines(cases.documents(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {i for i, *_ in rows if i % 2}
 
 
 # --- near duplicates --------------------------------------------------------------------

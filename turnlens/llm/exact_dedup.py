@@ -23,9 +23,8 @@ from turnlens.llm.common import cut
 
 #: Filter cells for each row; 2 of 16 leave about 1.4 % of unrepeated rows to the exact pass.
 CELLS_PER_ROW = 16
-#: 64-bit registers of a filter that is broadcast (at most 64 MB of keys and bits);
-#: a larger filter meets the digests in a shuffle instead.
-MAX_BROADCAST_REGISTERS = 1 << 22
+#: 64-bit registers of a filter that is broadcast (at most 16 MB of keys and bits).
+MAX_BROADCAST_REGISTERS = 1 << 20
 #: A group with this part of all rows is hot. At most HOT_PARTS groups can be.
 HOT_PARTS = 1024
 
@@ -48,17 +47,28 @@ def probe(hashed: Column, registers: int) -> tuple[Column, Column]:
     return hashed.bitwiseAND(F.lit(registers - 1)), bit(58).bitwiseOR(bit(52))
 
 
-def maybe_in(rows: DataFrame, hashed: str, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose 64-bit hash may be among ``keys``: a Bloom filter of bounded size, broadcast.
-
-    No row of a key is lost; a few others pass. ``keys`` is read twice.
-    """
+def _flagged(rows: DataFrame, hashed: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with _maybe: whether the 64-bit hash may be among ``keys``, by a Bloom filter of bounded size, broadcast."""
     registers = registers_for(keys.count())
     register, mask = probe(F.col(key), registers)
     bits = keys.select(register.alias("_reg"), mask.alias("_mask")).groupBy("_reg").agg(F.expr("bit_or(_mask)").alias("_bits"))
     register, mask = probe(F.col(hashed), registers)
-    met = rows.withColumns({"_reg": register, "_mask": mask}).join(F.broadcast(bits), "_reg")
-    return met.filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("_reg", "_mask", "_bits")
+    met = rows.withColumns({"_reg": register, "_mask": mask}).join(F.broadcast(bits), "_reg", "left")
+    return met.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))).drop("_reg", "_mask", "_bits")
+
+
+def maybe_in(rows: DataFrame, hashed: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose 64-bit hash may be among ``keys``.
+
+    No row of a key is lost; a few others pass. ``keys`` is read twice.
+    """
+    return _flagged(rows, hashed, keys, key).filter("_maybe").drop("_maybe")
+
+
+def split_by(rows: DataFrame, hashed: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose hash is surely not among ``keys``, and those that :func:`maybe_in` lets pass."""
+    flagged = _flagged(rows, hashed, keys, key)
+    return flagged.filter("not _maybe").drop("_maybe"), flagged.filter("_maybe").drop("_maybe")
 
 
 def _digests(docs: DataFrame, registers: int, normalize: Callable[[Column], Column] | None, id_col: str, text_col: str) -> DataFrame:
