@@ -199,7 +199,7 @@ def changed_lines(spark):
 
 
 def test_lines_lose_no_similar_pair(spark, monkeypatch):
-    """The same with no and with most word pairs taken as frequent, and with codes that many words share."""
+    """The same with no and with most word pairs taken as frequent."""
     docs = changed_lines(spark)
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     gone = {rows[r][0] for r, _ in brute_lines(rows)}
@@ -207,8 +207,17 @@ def test_lines_lose_no_similar_pair(spark, monkeypatch):
     for least in (16, 1):
         monkeypatch.setattr(line_dedup, "OFTEN_LEAST", least, raising=False)
         assert {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["n_removed"]} == gone
-    monkeypatch.setattr(line_dedup, "CODES", 24)
-    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["n_removed"]} == gone
+
+
+def test_lines_are_confirmed_by_words(spark, monkeypatch):
+    """With two codes for all words, codes alone would link lines that share no word but a pair."""
+    monkeypatch.setattr(line_dedup, "CODES", 2)
+    monkeypatch.setattr(line_dedup, "_may", lambda a, b: F.col(f"{a}.id") != F.col(f"{b}.id"))
+    words = [[f"{c}{k}" for k in range(8)] + ["common", "pair"] for c in "abcdef"]
+    rows = [(i, " ".join(w), "en", "a") for i, w in enumerate(words)] + [(10, " ".join([*words[0][:7], "x", *words[0][8:]]), "en", "a")]
+    monkeypatch.setattr(line_dedup, "prefix_length", lambda n: n - 1)
+    got = line_dedup.dedup_lines(cases.documents(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {10}
 
 
 def test_lines_of_a_common_pair(spark, monkeypatch):
