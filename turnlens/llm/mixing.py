@@ -10,8 +10,9 @@ that fit, until none does; a subset sum only fills the last words.
 
 Defined results: a null text has size 0, an empty one too, and both are taken
 0 times. A null source is a source of its own, last in order. A document
-listed by no source takes no part. Repeated rows are taken alike. An empty
-table gives no rows. Extra columns are ignored.
+listed by no source takes no part. Rows that share an id, or have none, are told
+apart by their texts; rows equal in both are taken alike. An empty table gives no
+rows. Very long texts are counted whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from turnlens.llm.common import cut, word_count
 
-#: Membership patterns and sources a mix may have: both are metadata, and are broadcast.
-MAX_PATTERNS = 10_000
+#: Membership patterns a mix may have: they are metadata, solved on the driver and broadcast. More raise an error; none is dropped.
+MAX_PATTERNS = 100_000
 #: How often a document may be taken, and the marginal cost of each repetition.
 REPEATS = 3
 COSTS = (0, 1, 3)
@@ -44,7 +45,7 @@ class Mix:
     sources: dict[str | None, tuple[int, float]]
     usage: dict[str, tuple[int, int]] = field(default_factory=dict)
     cuts: dict[str, list[tuple[int, int, int]]] = field(default_factory=dict)
-    extra: list[tuple[str, int, int | None, int]] = field(default_factory=list)
+    extra: list[tuple[str, int, int, int]] = field(default_factory=list)
 
 
 def weights_in_turn(sources: list[str | None]) -> dict[str | None, int]:
@@ -131,7 +132,8 @@ def min_cost_flow(capacity: dict[str, int], members: dict[str, list], quota: dic
 
 
 def _order(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"))
+    """A seeded hash of the row: rows that share an id (or have none) and not the text are told apart."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
 
 
 def _level(h: str, k: int) -> Column:
@@ -187,6 +189,7 @@ def _filled(rows: DataFrame, mix: Mix, state: dict[str, tuple[list, int]]) -> di
     """For each pattern, of which some ranges are taken and some tokens left, what a fill misses and the documents it takes.
 
     Filled from each size class: FILLERS of its documents not chosen yet, then as many chosen ones, as often as repeats allow.
+    Where these leave more than a hundredth of the words open, the chosen ones among them may also make room (taken once less).
     """
     klass = F.floor(F.log2(F.col("_size"))).cast("int")
     out: dict[str, tuple[int, list]] = {p: (n, []) for p, (_, n) in state.items()}
@@ -194,14 +197,27 @@ def _filled(rows: DataFrame, mix: Mix, state: dict[str, tuple[list, int]]) -> di
     if not some:
         return out
     open_ = F.broadcast(rows.sparkSession.createDataFrame(some, f"_pattern string, {RANGES}, _left long"))
-    sized = rows.join(open_, "_pattern").filter("_size > 0 and _size <= _left").withColumn("_in", _chosen().cast("int"))
-    picks = sized.groupBy("_pattern", "_in", klass.alias("k"), F.pmod(F.col("_h"), F.lit(FILLERS)).alias("f")).agg(F.min(F.struct("_h", "doc_id", "_size")).alias("m")).select("_pattern", "_in", "k", "f", "m.*").collect()
+    sized = rows.join(open_, "_pattern").filter("_size > 0").withColumn("_in", _chosen().cast("int"))
+    # rows that are equal throughout are taken alike: their sizes count together
+    first = F.min(F.struct("_h", "_size")).alias("m")
+    least = sized.groupBy("_pattern", "_in", klass.alias("k"), F.pmod(F.col("_h"), F.lit(FILLERS)).alias("f")).agg(first).select("_pattern", "_in", "k", "f", "m.*")
+    picks = sized.join(F.broadcast(least), ["_pattern", "_in", "_h", "_size"]).groupBy(*least.columns).agg(F.count(F.lit(1)).alias("n")).collect()
     found: dict[str, list] = {}
     for r in sorted(picks, key=lambda r: (r["_pattern"], r["_in"], -r["k"], r["f"])):
         found.setdefault(r["_pattern"], []).append(r)
     for p, items in found.items():
-        times = fill(state[p][1], [r["_size"] for r in items], [REPEATS - mix.usage[p][0] - r["_in"] for r in items])
-        out[p] = state[p][1] - sum(n * items[i]["_size"] for i, n in times.items()), [(p, items[i]["_h"], items[i]["doc_id"], n) for i, n in times.items()]
+        sizes = [r["_size"] * r["n"] for r in items]
+        left, most = state[p][1], [REPEATS - mix.usage[p][0] - r["_in"] for r in items]
+        times = fill(left, sizes, most)
+        miss = left - sum(n * sizes[i] for i, n in times.items())
+        if miss * 100 > mix.usage[p][1]:
+            held = [r["_in"] for r in items]
+            swap = fill(left + sum(h * s for h, s in zip(held, sizes, strict=True)), sizes, [m + h for m, h in zip(most, held, strict=True)])
+            swap = {i: swap.get(i, 0) - h for i, h in enumerate(held) if swap.get(i, 0) != h}
+            rest = left - sum(n * sizes[i] for i, n in swap.items())
+            if rest < miss:
+                times, miss = swap, rest
+        out[p] = miss, [(p, items[i]["_h"], items[i]["_size"], n) for i, n in times.items()]
     return out
 
 
@@ -220,7 +236,16 @@ def solve(rows: DataFrame, weights: dict | None = None) -> Mix:
     total = sum(capacity[p] for p, ss in members.items() if ss)
     targets = capped_targets(sizes, weights or weights_in_turn(list(sizes)), total)
     mix = Mix({s: (sizes[s], targets[s]) for s in sizes})
-    flow = min_cost_flow(capacity, members, {s: round(t) for s, t in targets.items()})
+    quota = {s: round(t) for s, t in targets.items()}
+    shared: dict[str | None, int] = {}
+    for ss in members.values():
+        for s in ss:
+            shared[s] = shared.get(s, 0) + 1
+    # a source that only one pattern has, which has no other source, takes what it may from it
+    alone = {p for p, ss in members.items() if len(ss) == 1 and shared[ss[0]] == 1}
+    flow = {p: {members[p][0]: min(quota[members[p][0]], REPEATS * capacity[p])} for p in alone}
+    settled = {members[p][0] for p in alone}
+    flow |= min_cost_flow({p: c for p, c in capacity.items() if p not in alone}, members, {s: q for s, q in quota.items() if s not in settled})
     for p, sent in flow.items():
         tokens = sum(sent.values())
         mix.usage[p] = divmod(tokens, capacity[p]) if capacity[p] else (0, 0)
@@ -292,12 +317,11 @@ def apply(rows: DataFrame, mix: Mix) -> DataFrame:
     spark = rows.sparkSession
     cuts = [(p, full, mix.cuts.get(p, [])) for p, (full, _) in mix.usage.items()]
     cuts = F.broadcast(spark.createDataFrame(cuts, f"_pattern string, _full long, {RANGES}"))
-    extra = F.broadcast(spark.createDataFrame(mix.extra, "_pattern string, _eh long, _eid long, _more long"))
-    hit = (rows["_pattern"] == extra["_pattern"]) & (rows["_h"] == extra["_eh"]) & rows["doc_id"].eqNullSafe(extra["_eid"])
-    out = rows.join(extra, hit, "left").drop(extra["_pattern"]).join(cuts, "_pattern", "left")
+    extra = F.broadcast(spark.createDataFrame(mix.extra, "_pattern string, _h long, _size long, _more long"))
+    out = rows.join(extra, ["_pattern", "_h", "_size"], "left").join(cuts, "_pattern", "left")
     more = F.when(_chosen(), 1).otherwise(0) + F.coalesce("_more", F.lit(0))
     times = F.when(F.col("_size") > 0, F.coalesce(F.col("_full") + more, F.lit(0))).otherwise(0).cast("long")
-    return out.withColumn("_times", times).drop("_full", "_ranges", "_eh", "_eid", "_more")
+    return out.withColumn("_times", times).drop("_full", "_ranges", "_more")
 
 
 def taken(docs: DataFrame, seed: int = 7, weights: dict | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ longer sure enough. The list becomes one ordered Spark ``CASE`` expression.
 Defined results: a null or empty text has no words and fails the base rules.
 Repeated rows are judged alike. Rows whose label is null do not train; without
 labels of both kinds the list is empty and base rules alone decide. Repeated
-windows are told by 64-bit hashes.
+windows are told by 64-bit hashes. Very long texts are read whole. An empty table
+gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -192,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Ru
         .groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
         .withColumn("_order", F.xxhash64(F.lit(2), F.col("_id"))).orderBy("_order", "_id").limit(rows)
     )
-    sample = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    # of rows that share a labelled id the least text is learned from
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    sample = texts.join(F.broadcast(known), "_id").groupBy("_order", "_quality").agg(F.min("_text").alias("text"))
     got = with_rates(statistics(sample, ["_order", "_quality"])).filter(~base_failed()).select("_order", "_quality", *(f"_{n}" for n in RATES)).collect()
     got.sort(key=lambda r: r["_order"])
     x = {n: np.array([r[f"_{n}"] for r in got], float) for n in RATES}

@@ -10,9 +10,12 @@ out-of-fold scores set the isotonic calibration. Scoring is one pass without
 a shuffle; the model it broadcasts has a fixed bound.
 
 Defined results: null and empty texts get the score of a text without any
-words. Rows without a label, or whose label is null, are scored all the same.
-Without labels of both kinds the score is the share of toxic labels (0 if
-there are none). Repeated labels of an id count once, toxic if any is.
+words; very long ones are read whole, in linear time. Rows without a label, or
+whose label is null, are scored all the same. Without labels of both kinds the
+score is the share of toxic labels (0 if there are none). Repeated labels of an
+id count once, toxic if any is; of rows that share a labelled id the least text is
+learned from, and each is scored. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +50,10 @@ SECOND = frozenset("you your yours yourself u ur thou thee du dich dir dein dein
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
 
 _WORDS = re.compile(r"\w+").findall
-_DISGUISED = re.compile(r"[^\W\d_]+[\d@$!|*.\-_]+[^\W\d_][\w@$!|*.\-]*").findall
+_LETTER = re.compile(r"[^\W\d_]").match
+#: Marks inside a word, from the letter before them to the one after; and what else belongs to such a word.
+_MARKED = re.compile(r"[^\W\d_][\d@$!|*.\-_]+[^\W\d_]").search
+_REST = re.compile(r"[\w@$!|*.\-]*").match
 _CAPITALS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{2,}\b").findall
 
 FEATURES = ("log_words", "insults", "insult_density", "hits", "hit_density", "strong_hits", "top", "second", "near_second", "disguised", "capitals", "exclaims", "symbols")
@@ -69,6 +75,17 @@ class Weights(dict):
         return out
 
 
+def marked_words(text: str) -> Iterator[str]:
+    """Words with marks or digits among their letters, in order; linear in the text."""
+    at = 0
+    while m := _MARKED(text, at):
+        start = m.start()
+        while start > at and _LETTER(text, start - 1):
+            start -= 1
+        at = _REST(text, m.end()).end()
+        yield text[start:at]
+
+
 def featurize(text: str, weights: Weights) -> list[float]:
     """The FEATURES of one whole text."""
     words = _WORDS(text.lower())
@@ -85,7 +102,7 @@ def featurize(text: str, weights: Weights) -> list[float]:
         if second:
             near = sum(any(w in SECOND for w in words[max(0, i - 3) : i + 4]) for i in marks)
     disguised = 0
-    for raw in _DISGUISED(text):
+    for raw in marked_words(text):
         plain = raw.lower().translate(LOOKALIKES)
         plain = re.sub(r"[\W_]+", "", plain)
         disguised += raw.lower() != plain and (plain in INSULTS or weights[plain] > 2 * LEAST_ODDS)
@@ -234,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("double").alias("y"))
         .select("_id", "y", F.xxhash64(F.lit(1), F.col("_id")).alias("order")).orderBy("order", "_id").limit(rows)
     )
-    sample = cut(docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("order", "y", F.coalesce("text", F.lit("")).alias("text")))
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_t"))
+    sample = cut(texts.join(F.broadcast(known), "_id").groupBy("order", "y").agg(F.min("_t").alias("text")))
     even = F.col("order") % 2 == 0
     parts = [_featured(sample.filter(a), learn_lexicon(sample.filter(b))) for a, b in ((even, ~even), (~even, even))]
     got = parts[0].unionByName(parts[1]).orderBy(F.xxhash64("order"), "order").collect()

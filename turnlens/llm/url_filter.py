@@ -5,12 +5,14 @@ built-in one, or the caller's), on character n-grams of host and path hashed
 to a fixed number of weights. The weights are broadcast: their size is fixed.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path, fits no rule and is allowed (there is nothing to score). Repeated rows
-are judged alike; extra columns are ignored.
+path, fits no rule and is allowed (there is nothing to score). Very long urls are
+read whole. Repeated rows are judged alike; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -25,25 +27,44 @@ from turnlens.llm.common import small_batches
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
 #: Words of the built-in labelled table: of hosts to block, of hosts to allow, and of either.
-BAD = "pills casino bets betting adult porn xxx ads adserver tracker track spam viagra escort poker jackpot payday replica warez keygen clickbait lottery".split()
-GOOD = "news library museum weather science history journal garden kitchen council theatre hospital archive school railway recipes travel music bicycle docs wiki tionble therwh ththom erstch lleion oneath reingou sträuße enlatia".split()
-EITHER = "cheap free best online farm win world club shop x hub my big the live city".split()
-PATHS = "/en/1042 /de/77/ /fr/318.html /es/2051?page=2 /about /articles/2019/spring-report /blog/baking-bread /wiki/Main /index.php?id=4 /".split()
-TLDS = ("example.com", "example.org", "example.net", "com", "org", "co.uk", "de")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The built-in labelled table, (url, 1 = block): each word alone and in pairs, as host or in a path."""
+BAD = (
+    "pills casino casinos bets betting slots roulette adult porn porno sex xxx nude cams hookup dating ads adserver adclick tracker tracking popunder spam phishing malware viagra cialis "
+    "pharmacy escort escorts poker jackpot bingo payday loans replica warez crack cracked keygen torrent clickbait lottery sweepstakes".split()
+)
+GOOD = (
+    "news library museum weather science history journal garden kitchen council theatre hospital archive school railway recipes travel music bicycle docs wiki university college "
+    "bank forum radio paper press times post daily health law court church city town county state gov transport airport hotel film book books maps photo sport football software "
+    "code data cloud mail studio design engineering printing training cooking shopping writing research institute society nature energy water forest farm market house street bridge river mountain coffee bakery "
+    "zeitung verlag stadt schule bibliothek wetter verein handwerk garten reise mairie ville ecole bibliotheque journal cuisine musee ayuntamiento escuela biblioteca noticias cocina museo".split()
+)
+EITHER = "cheap free best online win world club shop hub my big the live top x now go get pro info web site net plus one".split()
+PATHS = "/ /about /articles/2019/spring-report /blog/baking-bread /wiki/Main /index.php?id=4 /2021/06/14/notes.html /p/318 /category/page/2/ /search?q=a /en /docs/v2/guide#top".split()
+TLDS = "com org net co.uk de fr es example.com example.org example.net info io gov edu eu".split()
+SUBS = ("", "www.", "m.", "blog.", "en.", "static.")
+#: Invented names of hosts to allow, so that letters the table never had with a blocked word speak for a host.
+INVENTED = 1200
+
+
+def invented(n: int, seed: int = 1) -> list[str]:
+    """``n`` names of two to four syllables, drawn from letters by a seed."""
+    draw = random.Random(seed)
+    part = lambda: "".join((draw.choice("bcdfghjklmnprstvwyz"), draw.choice(("", "", "", "h", "l", "r")), draw.choice("aeiou"), draw.choice(("", "", "n", "r", "s", "t", "l", "th", "nd"))))
+    return ["".join(part() for _ in range(2 + i % 3)) for i in range(n)]
+
+
+def labelled_urls(bad: Sequence[str] = tuple(BAD), good: Sequence[str] = tuple(GOOD), names: int = INVENTED) -> list[tuple[str, int]]:
+    """The built-in labelled table, (url, 1 = block): each word alone and with others, as host or in a path; invented names."""
     out: list[tuple[str, int]] = []
-    for label, words in ((1, BAD), (0, GOOD)):
+    draw = random.Random(2).choice  # what is around a word says nothing about the label
+    put = lambda name, label: out.append((f"{draw(('http', 'https'))}://{draw(SUBS)}{name}.{draw(TLDS)}{draw(PATHS)}", label))
+    for label, words in ((1, bad), (0, good)):
         for i, word in enumerate(words):
-            for j in range(8):
-                other = EITHER[(3 * i + 5 * j) % len(EITHER)]
-                name = (word, f"{other}-{word}", f"{word}-{other}", f"{other}{word}", f"{word}{i}")[(i + j) % 5]
-                sub = ("", "www.", "m.", "blog.")[(i + 3 * j) % 4]
-                out.append((f"{('http', 'https')[j % 2]}://{sub}{name}.{TLDS[(i + 2 * j) % len(TLDS)]}{PATHS[(i + 7 * j) % len(PATHS)]}", label))
-            host = f"{EITHER[i % len(EITHER)]}-{GOOD[(5 * i + 1) % len(GOOD)]}.{TLDS[i % len(TLDS)]}"
-            out.append((f"https://{host}/{EITHER[(i + 3) % len(EITHER)]}-{word}/{i}", label))
+            for j in range(10):
+                other = draw(EITHER)
+                put((word, f"{other}-{word}", f"{word}-{other}", f"{other}{word}", f"{word}{i}")[j % 5], label)
+            out.append((f"https://{draw(EITHER)}-{draw(good)}.{draw(TLDS)}/{draw(EITHER)}-{word}/{i}", label))
+    for name in invented(names):
+        put(name, 0)
     return out
 
 
@@ -82,17 +103,19 @@ class UrlModel:
         return np.fromiter(sorted(out), np.int64, len(out))
 
     def fit(self, rows: Sequence[tuple[str, str, int]], rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> UrlModel:
-        """Full-batch gradient descent, so that a refit gives the same weights."""
+        """Full-batch gradient descent, so that a refit gives the same weights; both labels weigh alike."""
         if not rows:
             return self
         found = [self.features(h, p) for h, p, _ in rows]
         y = np.array([r[2] for r in rows], float)
+        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        worth = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
         scale = np.array([1 / np.sqrt(max(len(f), 1)) for f in found])
         flat, starts = np.concatenate(found), np.cumsum([0, *map(len, found)])[:-1]
         owner = np.repeat(np.arange(len(found)), list(map(len, found)))
         for _ in range(rounds):
             z = np.add.reduceat(self.weights[flat], starts) * scale + self.bias
-            err = 1 / (1 + np.exp(-z)) - y
+            err = (1 / (1 + np.exp(-z)) - y) * worth
             grad = np.bincount(flat, (err * scale)[owner], minlength=len(self.weights))
             self.weights -= rate * (grad / len(rows) * 8 + decay * self.weights)
             self.bias -= rate * err.mean()
