@@ -32,8 +32,10 @@ def brute_exact(rows):
     return sorted(((i, top[t or ""], len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows), key=str)
 
 
+@pytest.mark.parametrize("most", [exact_dedup.MAX_BROADCAST_REGISTERS, 1])
 @pytest.mark.parametrize("make", [cases.documents, cases.empty, small])
-def test_exact(spark, make):
+def test_exact(spark, make, most, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_REGISTERS", most)
     docs = make(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = exact_dedup.flag_copies(docs).collect()
@@ -43,6 +45,7 @@ def test_exact(spark, make):
     assert len(kept) == len({t or "" for _, t in rows}) and all(r["doc_id"] == r["keep_id"] for r in kept)
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns and left.count() == len(kept)
+    assert sorted((r["text"] or "" for r in left.collect())) == sorted({t or "" for _, t in rows})
 
 
 def test_bloom_filter_loses_no_key(spark):

@@ -8,25 +8,24 @@ shuffle, which settles them exactly.
 
 Defined results: a null text counts as empty; empty texts are copies of each
 other. The row with the largest id of each group stays (a null id is below
-any other). Rows that repeat both id and text are one group, of which one row
-stays. Extra columns are ignored, whatever their names.
+any other). Of rows that repeat both id and text one stays. Very long texts are
+hashed whole. An empty table gives no rows. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut
+from turnlens.llm.common import BROADCAST_ROWS, cut, join_by_size, kept_narrow
 
 #: Filter cells for each row; 2 of 16 leave about 1.4 % of unrepeated rows to the exact pass.
 CELLS_PER_ROW = 16
 #: 64-bit registers of a filter that is broadcast (at most 16 MB of keys and bits).
 MAX_BROADCAST_REGISTERS = 1 << 20
-#: A group with this part of all rows is hot. At most HOT_PARTS groups can be.
-HOT_PARTS = 1024
 
 
 def _registers(rows: int) -> int:
@@ -71,77 +70,71 @@ def split_by(rows: DataFrame, hashed: str, keys: DataFrame, key: str) -> tuple[D
     return flagged.filter("not _maybe").drop("_maybe"), flagged.filter("_maybe").drop("_maybe")
 
 
-def _digests(docs: DataFrame, registers: int, normalize: Callable[[Column], Column] | None, id_col: str, text_col: str) -> DataFrame:
+def _plain(normalize: Callable[[Column], Column] | None, text_col: str) -> Column:
     text = F.col(text_col)
-    text = F.coalesce(normalize(text) if normalize else text, F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("_h"), F.sha2(F.col("_t"), 256).alias("text_sha256")
-    ).select(
-        "doc_id", "text_sha256",
-        F.col("_h").bitwiseAND(F.lit(registers - 1)).alias("_reg"),
-        F.shiftrightunsigned("_h", 58).cast("int").alias("_b1"),
-        F.shiftrightunsigned("_h", 52).bitwiseAND(F.lit(63)).cast("int").alias("_b2"),
-    )
+    return F.coalesce(normalize(text) if normalize else text, F.lit(""))
+
 
+def _bits(hashed: str) -> list[Column]:
+    """The numbers of the two bits that a hash sets in its register; the same as in :func:`probe`."""
+    return [F.shiftrightunsigned(hashed, at).bitwiseAND(F.lit(63)).cast("int") for at in (58, 52)]
 
-def repeated_cells(digests: DataFrame) -> DataFrame:
-    """(register, bits): the filter cells that two rows or more set."""
+
+def repeated_cells(digests: DataFrame, registers: int) -> DataFrame:
+    """(_reg, _twice): the filter cells that two rows or more set."""
     return (
-        digests.select("_reg", F.explode(F.array_distinct(F.array("_b1", "_b2"))).alias("_bit"))
+        digests.select(probe(F.col("_h"), registers)[0].alias("_reg"), F.explode(F.array_distinct(F.array(*_bits("_h")))).alias("_bit"))
         .groupBy("_reg", "_bit").agg(F.count(F.lit(1)).alias("_n"))
         .filter("_n > 1")
         .groupBy("_reg").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_twice"))
     )
 
 
-def flag_copies(docs: DataFrame, normalize: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.count()
+def _flags(docs: DataFrame, normalize: Callable[[Column], Column] | None, id_col: str, text_col: str) -> DataFrame:
+    """:func:`flag_copies` with _h, the 64-bit hash of the text."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), _plain(normalize, text_col).alias("_t"))
+    # The digests are a few dozen bytes a row; kept, so that texts are read and hashed once, and rows stay numbered.
+    digests = cut(texts.select("doc_id", F.xxhash64("_t").alias("_h"), F.sha2(F.col("_t"), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row")))
+    rows = digests.count()
     registers = _registers(rows)
-    # The digests are a few dozen bytes a row; kept, so that texts are read and hashed once.
-    digests = cut(_digests(docs, registers, normalize, id_col, text_col))
-    cells = repeated_cells(digests)
     if registers <= MAX_BROADCAST_REGISTERS:
-        cells = F.broadcast(cells)
-    mask = F.expr("shiftleft(1L, _b1) | shiftleft(1L, _b2)")
-    probed = digests.join(cells, "_reg", "left").select(
-        "doc_id", "text_sha256", (F.coalesce("_twice", F.lit(0)).bitwiseAND(mask) == mask).alias("_maybe")
-    )
-    alone = probed.filter(~F.col("_maybe")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
-    )
+        register, mask = probe(F.col("_h"), registers)
+        met = digests.withColumn("_reg", register).join(F.broadcast(repeated_cells(digests, registers)), "_reg", "left")
+        probed = met.withColumn("_maybe", F.coalesce("_twice", F.lit(0)).bitwiseAND(mask) == mask).drop("_reg", "_twice")
+    else:
+        # A filter of all rows would not fit a task: their hashes alone are counted, combined before the
+        # shuffle, and the repeated ones fill a filter of bounded size.
+        probed = _flagged(digests, "_h", cut(digests.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "_h")
+    alone = probed.filter("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "_h")
     maybe = probed.filter("_maybe").drop("_maybe")
-    groups = cut(
-        maybe.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_n")).alias("_top"), F.sum("_n").alias("group_size"))
-        .select("text_sha256", F.col("_top.doc_id").alias("keep_id"), F.col("_top._n").alias("_ties"), "group_size")
-    )
-    # Rows of hot groups never travel: at most HOT_PARTS groups can hold 1/HOT_PARTS of the rows.
-    hot_size = max(1000, rows // HOT_PARTS)
-    hot = F.broadcast(groups.filter(F.col("group_size") >= hot_size).withColumnsRenamed({"keep_id": "_hk", "_ties": "_ht", "group_size": "_hg"}))
-    split = maybe.join(hot, "text_sha256", "left")
-    settled = split.filter("_hg is not null").select("doc_id", "text_sha256", F.col("_hk").alias("keep_id"), F.col("_ht").alias("_ties"), F.col("_hg").alias("group_size"))
-    settled = settled.unionByName(
-        split.filter("_hg is null").select("doc_id", "text_sha256").join(groups, "text_sha256")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    tied = F.col("kept") & (F.col("_ties") > 1)
-    first = F.row_number().over(Window.partitionBy("text_sha256").orderBy("doc_id")) == 1
-    settled = settled.filter(~tied).unionByName(settled.filter(tied).withColumn("kept", first))
+    # of rows that repeat id and text the first stays
+    top = F.max(F.struct("doc_id", (-F.col("_row")).alias("_first")))
+    groups, n_groups = kept_narrow(maybe.groupBy("text_sha256").agg(top.alias("_top"), F.count(F.lit(1)).alias("group_size")))
+    groups = groups.select("text_sha256", F.col("_top.doc_id").alias("keep_id"), F.col("_top._first").alias("_first"), "group_size")
+    settled = join_by_size(maybe, groups, "text_sha256", "group_size", rows, n_groups).withColumn("kept", F.col("_row") == -F.col("_first"))
     return alone.unionByName(settled.select(*alone.columns))
 
 
+def flag_copies(docs: DataFrame, normalize: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _flags(docs, normalize, id_col, text_col).drop("_h")
+
+
 def drop_copies(docs: DataFrame, normalize: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are copies, all columns kept.
 
-    Only the ids of dropped rows are joined; a repeated (id, text) row goes by
-    a distinct over the few rows whose id occurs more than once.
+    Rows to drop are told by id and hash. Where these are too many to broadcast, a
+    Bloom filter of them lets all other rows pass straight through, so that texts of
+    documents without a copy never travel.
     """
-    flags = cut(flag_copies(docs, normalize, id_col, text_col))
-    gone = flags.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    # An id that is dropped once and kept once stands for repeated rows.
-    twice = flags.filter("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi").select(F.col("doc_id").alias("_twice"), F.col("text_sha256").alias("_sha"))
-    plain = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    text = F.col(text_col)
-    sha = F.sha2(F.coalesce(normalize(text) if normalize else text, F.lit("")), 256)
-    both = docs.join(twice, F.col(id_col).eqNullSafe(F.col("_twice")) & (sha == F.col("_sha")), "inner").dropDuplicates(["_sha"]).drop("_twice", "_sha")
-    return plain.unionByName(both)
+    flags = _flags(docs, normalize, id_col, text_col)
+    gone, n = kept_narrow(flags.groupBy(F.col("doc_id").alias("_gid"), F.col("_h").alias("_gh")).agg(F.max("kept").alias("_one"), F.min("kept").alias("_all")).filter("not _all").drop("_all"))
+    gone = gone.withColumn("_key", F.xxhash64("_gid", "_gh"))
+    rows = docs.withColumn("_gh", F.xxhash64(_plain(normalize, text_col))).withColumn("_key", F.xxhash64(F.col(id_col), "_gh"))
+    clear, some = split_by(rows, "_key", gone, "_key")
+    # a null id is equal to itself
+    same = (rows[id_col].eqNullSafe(gone["_gid"])) & (some["_key"] == gone["_key"]) & (some["_gh"] == gone["_gh"])
+    met = some.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, same, "left").drop(gone["_gh"], gone["_key"])
+    stay = met.filter("_one is null").select(*docs.columns)
+    one = met.filter("_one").dropDuplicates(["_gh", "_gid"]).select(*docs.columns)  # a row given twice
+    return clear.select(*docs.columns).unionByName(stay).unionByName(one)
