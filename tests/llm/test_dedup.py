@@ -293,6 +293,26 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert left.columns == docs.columns and left.count() == len({c for _, c, _ in got})
 
 
+def test_near_duplicates_of_shared_and_text_ids(spark):
+    """Rows that share an id are judged by their texts; ids may be strings."""
+    w = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(w), "en", "a"), (1, "another text altogether of seven words", "en", "a"), (2, " ".join([*w[:59], "x"]), "en", "a"), (2, "one more text on its own here", "en", "a")]
+    docs = cases.documents(spark, rows)
+    assert sorted(r["text"] for r in ngram_join.keep_one(docs).collect()) == sorted([rows[0][1], rows[1][1], rows[3][1]])
+    named = docs.withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(named).collect()} == {("id1", "id1", 1), ("id1", "id1", 0), ("id2", "id1", 1), ("id2", "id2", 0)}
+
+
+def test_forest_ends_at_the_measured_recall(spark):
+    found = lambda agree, n: spark.range(n).select(F.col("id").alias("a"), F.lit(agree).cast("long").alias("agree"))
+    n, lost = ngram_join.missing(found(119, 5000), ngram_join.DEPTH)
+    assert n == 5000 and lost < 1e-4 * 5000  # near-identical texts: whole labels find them all
+    n, lost = ngram_join.missing(found(98, 5000), ngram_join.DEPTH)
+    assert lost > 1e-4 * 5000  # at the threshold some must have been missed
+    assert ngram_join.missing(found(119, 5), ngram_join.DEPTH)[1] > 1e-4 * 5  # too few to tell
+    assert ngram_join.meet(ngram_join.THRESHOLD, ngram_join.prefix_length()) >= ngram_join.RECALL
+
+
 def test_shingles_match_words():
     texts = [None, "", " ", "a b", "a b c d e f", "\x0ba\rb  c\td e", "é 漢 🎉 x y z", "a b c d e f"]
     hashes, n = shingle_hashes(texts)

@@ -127,10 +127,14 @@ def drop_copies(docs: DataFrame, normalize: Callable[[Column], Column] | None =
     Bloom filter of them lets all other rows pass straight through, so that texts of
     documents without a copy never travel.
     """
-    flags = _flags(docs, normalize, id_col, text_col)
+    return without(docs, _flags(docs, normalize, id_col, text_col), F.xxhash64(_plain(normalize, text_col)), id_col)
+
+
+def without(docs: DataFrame, flags: DataFrame, hashed: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``flags`` (doc_id, _h, kept: one row for each) keeps; ``hashed`` is the _h of a row of ``docs``."""
     gone, n = kept_narrow(flags.groupBy(F.col("doc_id").alias("_gid"), F.col("_h").alias("_gh")).agg(F.max("kept").alias("_one"), F.min("kept").alias("_all")).filter("not _all").drop("_all"))
     gone = gone.withColumn("_key", F.xxhash64("_gid", "_gh"))
-    rows = docs.withColumn("_gh", F.xxhash64(_plain(normalize, text_col))).withColumn("_key", F.xxhash64(F.col(id_col), "_gh"))
+    rows = docs.withColumn("_gh", hashed).withColumn("_key", F.xxhash64(F.col(id_col), "_gh"))
     clear, some = split_by(rows, "_key", gone, "_key")
     # a null id is equal to itself
     same = (rows[id_col].eqNullSafe(gone["_gid"])) & (some["_key"] == gone["_key"]) & (some["_gh"] == gone["_gh"])
