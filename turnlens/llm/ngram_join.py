@@ -274,7 +274,7 @@ def _chains(classes: DataFrame) -> DataFrame:
     floor = prefix_length()
     for depth in range(DEPTH, floor - 1, -1):
         placed = classes.withColumn("label", F.col("id")) if label is None else classes.join(label, F.col("id") == F.col("node"), "left").select("id", "signature", F.coalesce("label", "id").alias("label"))
-        prefix = lambda t, d=depth: F.xxhash64(F.substring(F.col("signature"), t * (2 * DEPTH) + 1, F.lit(2 * d)))
+        prefix = lambda t: F.xxhash64(F.substring(F.col("signature"), t * (2 * DEPTH) + 1, F.lit(2 * depth)))  # noqa: E731, B023
         entries = placed.select("id", "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), prefix)).alias("tree", "prefix"))
         stats = [F.count(F.lit(1)).alias("members"), F.min("id").alias("low"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark"), F.min("label").alias("x"), F.max("label").alias("y")]
         buckets = entries.groupBy("tree", "prefix").agg(*stats).filter("x <> y")
