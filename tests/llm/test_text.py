@@ -87,6 +87,30 @@ def test_html_tree_holds_out():
     assert np.mean(right) > 0.97
 
 
+LONG_TEXT = " ".join("the quiet river runs below an old stone bridge where people meet on market days and sell fruit".split() * 3)
+
+
+def test_html_keeps_content_of_marked_wrappers_and_short_ends():
+    tree = html_extract.train()
+    body = f"<h1>The title of it</h1><p>{LONG_TEXT}</p><p>Short end.</p>"
+    want = f"The title of it\n{LONG_TEXT}\nShort end."
+    for page in (f'<div class="layout has-sidebar"><article>{body}</article></div>', f'<section class="related follow"><main>{body}</main></section>'):
+        assert html_extract.main_text(page, tree) == want
+    plain = f'<body><nav><a href="/">Home</a></nav><div><p>{LONG_TEXT}</p><p>Short end.</p><p>{LONG_TEXT}</p><p>Short end.</p></div><div><a href="/a">one two</a> <a href="/b">three four</a></div></body>'
+    assert html_extract.main_text(plain, tree) == f"{LONG_TEXT}\nShort end.\n{LONG_TEXT}\nShort end."
+    assert any(html_extract.FEATURES[f].endswith("link_density") for f, *_ in tree.nodes if f >= 0)
+
+
+def test_html_scan_is_linear():
+    import time
+
+    tree = html_extract.train()
+    for page in ("<a " * 300_000 + '"', "<b>" * 120_000 + "</i>" * 120_000, "<u><div>" + "<i>" * 100_000 + "</u>" * 100_000, "<p a='" * 150_000, "<li>" * 200_000, "<" * 1_000_000, "<!--" * 200_000):
+        start = time.perf_counter()
+        html_extract.main_text(page, tree)
+        assert time.perf_counter() - start < 4
+
+
 def size_of(text):
     return len(re.findall(WORD, text or ""))
 

@@ -1,14 +1,15 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is scanned once into flat text blocks: block-level tags end a block,
-inline tags do not. Each block carries shallow features (its words and link
-density, those of the blocks before and after it, and what kind of region it
-lies in); a decision tree, trained on a small labelled table, tells content
-from the rest. The built-in labelled table is made from invented pages; a
+inline tags do not. Each block carries shallow features: its words and link
+density, those of the blocks before and after it and of those in the same
+element, and weaker ones of the region it lies in (tags, and the part of the page
+that class words mark). A decision tree, trained on a small labelled table, tells
+content from the rest. The built-in labelled table is made from invented pages; a
 caller may give labelled blocks of their own.
 
 Defined results: a null or empty page has the empty text. Unclosed or stray
-tags, comments and truncated markup are tolerated. Character references are
+tags, comments and truncated markup are tolerated, in linear time. Character references are
 decoded; white space inside a block becomes one space; blocks are trimmed and
 joined in page order by one newline; empty blocks vanish. Repeated rows give
 the same text; extra columns are ignored.
@@ -17,6 +18,7 @@ the same text; extra columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections.abc import Iterator, Sequence
 
@@ -39,6 +41,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Regions by tag.
 SIDE_TAGS = frozenset("nav footer aside form dialog menu button label fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
+#: Elements that blocks stand in.
+HOME_TAGS = frozenset("html body div section article main td aside nav footer header form fieldset center details dialog menu".split())
 #: An opening tag of the key closes an open element of the values.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words in class, id or role that mark a region as no part of an article.
@@ -49,21 +53,30 @@ SIDE_WORDS = re.compile(
 )
 MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|main|content|body|text)(?![a-z])|(?:article|post|entry|story|main)-?(?:body|content|text)")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
-)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)", re.S)
+_TAG_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-FEATURES = ("side", "main", "near_main", "words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "heading", "has_main")
+FEATURES = (
+    "words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density",
+    "peer_words", "peer_link_density", "side_tag", "side_share", "main", "near_main", "heading", "has_main",
+)
+
+
+#: Words beyond which a block is simply long; peers together twice as many.
+MANY_WORDS = 30
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "side", "main", "near", "heading")
+    """A flat text block: its words, those in links, the element it stands in (home), and the region:
+    side by tag, the element whose class marks a side region (0: none), main by tag, near a main class."""
 
-    def __init__(self, text: str, words: int, linked: int, side: bool, main: bool, near: bool, heading: bool):
-        self.text, self.words, self.linked = text, words, linked
-        self.side, self.main, self.near, self.heading = side, main, near, heading
+    __slots__ = ("text", "words", "linked", "home", "side", "word", "main", "near", "heading")
+
+    def __init__(self, text: str, words: int, linked: int, home: int, side: bool, word: int, main: bool, near: bool, heading: bool):
+        self.text, self.words, self.linked, self.home = text, words, linked, home
+        self.side, self.word, self.main, self.near, self.heading = side, word, main, near, heading
 
 
 def _marks(attrs: str) -> tuple[bool, bool, bool]:
@@ -79,32 +92,69 @@ def _marks(attrs: str) -> tuple[bool, bool, bool]:
     return side, main and not side, hidden
 
 
+class _Scanner:
+    """The tags and texts of a page in one pass; a quote without its end is a character like any other."""
+
+    def __init__(self, page: str):
+        self.page, self.open = page, {'"': True, "'": True}
+
+    def end_of_tag(self, at: int) -> int:
+        """Where a tag's attributes end: before its ``>``, or at the end of the page."""
+        page = self.page
+        while m := _TAG_STOP.search(page, at):
+            quote = m[0]
+            if quote == ">":
+                return m.start()
+            close = page.find(quote, m.end()) if self.open[quote] else -1
+            self.open[quote] = close >= 0
+            at = close + 1 if close >= 0 else m.end()
+        return len(page)
+
+
+class _Region:
+    """What an open element passes on to its content."""
+
+    __slots__ = ("home", "side", "word", "main", "near", "hidden")
+
+    def __init__(self, home: int = 0, side: bool = False, word: int = 0, main: bool = False, near: bool = False, hidden: bool = False):
+        self.home, self.side, self.word, self.main, self.near, self.hidden = home, side, word, main, near, hidden
+
+
 def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, in order."""
+    """The flat text blocks of a page, in order; linear in the page, whatever its markup."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, side, main, near, hidden
-    state = (False, False, False, False)
-    links = heading = 0
+    stack: list[tuple[str, _Region]] = []
+    places: dict[str, list[int]] = {}  # where each tag is open, and (under "") any tag that inline ones cannot close across
+    outside = _Region()
+    links = heading = elements = 0
+    region = outside
 
     def end_block() -> None:
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         if text:
-            side, main, near, _ = state
-            out.append(Block(text, len(text.split()), len(entities.unescape(" ".join(linked)).split()), side, main, near, heading > 0))
+            out.append(Block(text, len(text.split()), len(entities.unescape(" ".join(linked)).split()), region.home, region.side, region.word, region.main, region.near, heading > 0))
         parts.clear()
         linked.clear()
 
     def say(raw: str) -> None:
-        if raw and not state[3]:
+        if raw and not region.hidden:
             parts.append(raw)
             if links:
                 linked.append(raw)
 
+    def close(to: int) -> None:
+        while len(stack) > to:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in BLOCK_TAGS or tag in SILENT_TAGS:
+                places[""].pop()
+
+    scan = _Scanner(page)
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _MARKUP.search(page, at)
         if m is None:
             say(page[at:])
             break
@@ -114,10 +164,12 @@ def blocks(page: str) -> list[Block]:
             say(m["cdata"])
         if m["tag"] is None:
             continue
+        stop = scan.end_of_tag(at)
+        attrs, at = page[at:stop], stop + 1
         tag, closing = m["tag"].lower(), bool(m["end"])
         if tag in ("script", "style") and not closing:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            ended = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = ended.end() if ended else n
             continue
         if tag == "br":
             say(" ")
@@ -128,44 +180,61 @@ def blocks(page: str) -> list[Block]:
             links = 0 if closing else 1
         if re.fullmatch("h[1-6]", tag):
             heading = 0 if closing else 1
+        wall = places.setdefault("", [])
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in BLOCK_TAGS or tag in SILENT_TAGS or not any(x[0] in BLOCK_TAGS for x in stack[i + 1 :]):
-                        del stack[i:]
-                    break
-            state = stack[-1][1:] if stack else (False, False, False, False)
+            if places.get(tag) and (tag in BLOCK_TAGS or tag in SILENT_TAGS or not wall or wall[-1] < places[tag][-1]):
+                close(places[tag][-1])
+            region = stack[-1][1] if stack else outside
         elif tag not in VOID_TAGS:
             while stack and stack[-1][0] in CLOSES.get(tag, ()):
-                stack.pop()
-                state = stack[-1][1:] if stack else (False, False, False, False)
-            side, main, near, hidden = state
-            marks = _marks(m["attrs"]) if "=" in m["attrs"] or "hidden" in m["attrs"] else (False, False, False)
-            is_main = tag in MAIN_TAGS
-            if tag not in ("html", "body"):
-                side |= tag in SIDE_TAGS or (tag == "header" and not main) or (marks[0] and not is_main)
-            stack.append((tag, side, main or is_main, near or marks[1], hidden or marks[2] or tag in SILENT_TAGS))
-            state = stack[-1][1:]
+                close(len(stack) - 1)
+            up = stack[-1][1] if stack else outside
+            side, main, hidden = _marks(attrs) if "=" in attrs or "hidden" in attrs else (False, False, False)
+            is_main, whole = tag in MAIN_TAGS, tag in ("html", "body")
+            elements += 1
+            region = _Region(
+                # a block stands in the nearest element that is more than a paragraph, an item or a heading
+                elements if tag in HOME_TAGS else up.home,
+                up.side or (not whole and (tag in SIDE_TAGS or (tag == "header" and not up.main))),
+                # an article within a marked region is told by its own marks
+                0 if is_main else up.word or (elements if side and not whole else 0),
+                up.main or is_main, up.near or main, up.hidden or hidden or tag in SILENT_TAGS,
+            )
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK_TAGS or tag in SILENT_TAGS:
+                wall.append(len(stack))
+            stack.append((tag, region))
     end_block()
     return out
 
 
 def features(found: Sequence[Block]) -> np.ndarray:
-    """One row of FEATURES a block; neighbours beyond the page count 0."""
+    """One row of FEATURES a block; neighbours beyond the page count 0.
+
+    Peers are the blocks of the same element. side_share is the part of the page's words that the
+    region marked by class words holds: a wrapper of the whole page has such words, too.
+    """
     if not found:
         return np.zeros((0, len(FEATURES)))
-    words = np.array([b.words for b in found], float)
-    density = np.array([b.linked for b in found], float) / np.maximum(words, 1)
-    flags = np.array([(b.side, b.main, b.near, b.heading) for b in found], float)
+    words, linked = (np.array(c, float) for c in zip(*((b.words, b.linked) for b in found), strict=True))
+    density = linked / np.maximum(words, 1)
     before, after = (lambda x: np.r_[0.0, x[:-1]]), (lambda x: np.r_[x[1:], 0.0])
-    has_main = np.full(len(found), float(any(b.main and not b.side for b in found)))
-    return np.c_[flags[:, :3], words, density, before(words), before(density), after(words), after(density), flags[:, 3], has_main]
+    _, home = np.unique([b.home for b in found], return_inverse=True)
+    peers, peer_links = np.bincount(home, words)[home], np.bincount(home, linked)[home]
+    mark = np.array([b.word for b in found])
+    _, region = np.unique(mark, return_inverse=True)
+    share = np.where(mark > 0, np.bincount(region, words)[region] / words.sum(), 0.0)
+    flags = np.array([(b.main, b.near, b.heading) for b in found], float)
+    side = np.array([b.side for b in found], float)
+    has_main = np.full(len(found), float(any(b.main and not b.side and not b.word for b in found)))
+    near = np.minimum(words, MANY_WORDS)
+    return np.c_[near, density, before(near), before(density), after(near), after(density), np.minimum(peers, 2 * MANY_WORDS), peer_links / np.maximum(peers, 1), side, share, flags, has_main]
 
 
 class Tree:
     """A binary decision tree grown by Gini gain; nodes are (feature, threshold, left, right, share)."""
 
-    def __init__(self, depth: int = 8, leaf: int = 2):
+    def __init__(self, depth: int = 10, leaf: int = 6):
         self.depth, self.leaf = depth, leaf
         self.nodes: list[tuple[int, float, int, int, float]] = []
 
@@ -211,61 +280,75 @@ class Tree:
         return out
 
 
-def labelled_pages() -> list[tuple[str, set[str]]]:
+def labelled_pages(pages: int = 1500, seed: int = 3) -> list[tuple[str, set[str]]]:
     """The built-in labelled table: invented pages and the texts of their content blocks.
 
-    Each page combines a layout with short and long paragraphs, lists, quotes
-    and a table; every other block is boilerplate.
+    Each page draws a layout, what that stands in, and short and long paragraphs, lists,
+    quotes and tables; every other block is boilerplate, of any length, too. Without a marked
+    region, content is what has long paragraphs in its element.
     """
+    draw = random.Random(seed)
     sentence = "the quiet river runs below an old stone bridge where people meet on market days".split()
-    # words of a block by its number, so that every block of a page is its own text
-    say = lambda k, n: " ".join([f"w{k}", *(sentence[(k + i) % len(sentence)] for i in range(n - 1))])
-    link = lambda k, n: f'<a href="/{k}">{say(k, n)}</a>'
+    numbers = iter(range(1 << 30))
+
+    def say(n: int) -> str:  # a block's first word is its number, so that every block is its own text
+        k = next(numbers)
+        return " ".join([f"w{k}", *(sentence[(k + i) % len(sentence)] for i in range(n - 1))])
+
+    some = lambda low, high: round(low * (high / low) ** draw.random())
+    link = lambda low=1, high=6: f'<a href="/x">{say(some(low, high))}</a>'
+    text = lambda: say(some(2, 150))
     side = {
-        "nav": lambda k: f"<nav><ul><li>{link(k, 1)}</li><li>{link(k + 1, 2)}</li></ul></nav>",
-        "menu": lambda k: f'<div id="menu"><ul><li>{link(k, 2)}<li>{link(k + 1, 1)}</ul></div>',
-        "header": lambda k: f"<header><h2>{say(k, 3)}</h2><p>{say(k + 1, 9)}</p></header>",
-        "footer": lambda k: f"<footer><p>&copy; {say(k, 14)}</p><div>{link(k + 1, 4)}</div></footer>",
-        "aside": lambda k: f"<aside><h3>{say(k, 3)}</h3><p>{say(k + 1, 40)}</p></aside>",
-        "ad": lambda k: f'<div class="ad">{say(k, 25)}</div>',
-        "cookie": lambda k: f'<div class="cookie-notice"><p>{say(k, 30)}</p><button>{say(k + 1, 1)}</button></div>',
-        "form": lambda k: f"<form><label>{say(k, 4)}</label><p>{say(k + 1, 12)}</p></form>",
-        "related": lambda k: f'<div class="related"><p>{link(k, 8)}</p><p>{link(k + 1, 11)}</p></div>',
-        "comments": lambda k: f'<section id="comments"><h3>{say(k, 2)}</h3><div class="comment"><p>{say(k + 1, 45)}</p></div></section>',
-        "share": lambda k: f'<div class="share-bar">{link(k, 2)} {link(k + 1, 2)}</div>',
-        "bare note": lambda k: f"<div>{say(k, 6)}</div><p>{say(k + 1, 3)}</p>",
-        "bare legal": lambda k: f"<div><small>{say(k, 11)}</small></div>",
-        "bare links": lambda k: f"<p>{link(k, 3)} | {link(k + 1, 3)} | {link(k + 2, 4)}</p>",
+        "nav": lambda: f"<nav><ul><li>{link()}</li><li>{link()}</li></ul></nav>",
+        "menu": lambda: f'<div id="menu"><ul><li>{link()}<li>{link()}</ul></div>',
+        "header": lambda: f"<header><h2>{say(some(1, 8))}</h2><p>{text()}</p></header>",
+        "footer": lambda: f"<footer><p>&copy; {text()}</p><div>{link()}</div></footer>",
+        "aside": lambda: f"<aside><h3>{say(3)}</h3><p>{text()}</p><p>{text()}</p></aside>",
+        "ad": lambda: f'<div class="{draw.choice(("ad", "advert-box", "sponsored"))}">{text()}</div>',
+        "cookie": lambda: f'<div class="cookie-notice"><p>{text()}</p><button>{say(some(1, 3))}</button></div>',
+        "form": lambda: f"<form><label>{say(some(1, 6))}</label><p>{text()}</p></form>",
+        "related": lambda: f'<div class="related"><p>{link(2, 15)}</p><p>{link(2, 15)} {text()}</p></div>',
+        "comments": lambda: f'<section id="comments"><h3>{say(2)}</h3><div class="comment"><p>{text()}</p></div><div class="comment"><p>{text()}</p></div></section>',
+        "share": lambda: f'<div class="share-bar">{link()} {link()}</div>',
+        "bare note": lambda: f"<div>{say(some(2, 9))}</div><div><p>{say(some(2, 12))}</p></div>",
+        "bare links": lambda: f"<div><p>{link()} | {link()} | {link()}</p></div>",
+        "bare list": lambda: f"<div><ul><li>{link(1, 14)}</li><li>{link(1, 14)}</li><li>{link(1, 14)}</li></ul></div>",
+        "bare teaser": lambda: f"<div><div>{link(4, 20)}</div><div>{say(some(1, 4))} {link(6, 20)}</div></div>",
     }
-    layouts = ("<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="post-content">{}</div>', '<div id="content">{}</div>', "<div>{}</div>", "<table><tr><td>{}</td></tr></table>")
+    inside = ("related", "comments", "share", "form", "aside", "ad", "bare list", "bare teaser", "bare links")
+    layouts = ("<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="post-content">{}</div>', '<div id="content">{}</div>', "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "{}")
+    # what a layout may stand in; its class words say nothing of its content
+    wrappers = ("{}", "{}", '<div class="layout has-sidebar">{}</div>', '<div id="page" class="with-header">{}</div>', '<section class="related-topics follow">{}</section>')
     out = []
-    for n in range(140):
-        k, good, wanted = 1000 * n, [], set()
+    for _ in range(pages):
+        layout, wanted, good = draw.choice(layouts), set(), []
 
         def put(markup: str, words: int, wanted: set = wanted, good: list = good) -> None:
-            nonlocal k
-            k += 10
-            wanted.add(say(k, words))
-            good.append(markup.format(say(k, words)))
-
-        layout = layouts[n % len(layouts)]
-        plain = layout.startswith(("<div>", "<table>"))
-        put("<h1>{}</h1>", 5 + n % 4)
-        for i in range(3 + n % 5):
-            # short paragraphs are content inside a marked region only
-            put("<p>{}</p>", (40, 3, 60, 2, 25, 90, 12)[(n + i) % 7] if not plain else (40, 30, 60, 45, 25, 90, 120)[(n + i) % 7])
-        if n % 3 == 0 and not plain:
-            put("<ul><li>{}</li></ul>", 4)
-            put("<blockquote>{}</blockquote>", 18)
-        if n % 4 == 1 and not plain:
-            put("<table><tr><td>{}</td></tr></table>", 2)
-        names = list(side)
-        pick = lambda i: side[names[(n * 5 + i * 3) % len(names)]]
-        inner = "".join(good)
-        if n % 2 and not plain:
-            inner += side[("related", "comments", "share", "form", "aside", "ad")[n // 2 % 6]](k + 100)
-        body = pick(0)(k + 200) + pick(1)(k + 300) + layout.format(inner) + pick(2)(k + 400) + pick(3)(k + 500)
-        out.append((f"<html><head><title>{say(k + 600, 4)}</title></head><body>{body}</body></html>", wanted))
+            block = say(words)
+            wanted.add(block)
+            good.append(markup.format(block))
+
+        plain = layout in layouts[-3:]
+        put("<h1>{}</h1>", some(1, 12))
+        for _ in range(draw.randint(1, 8)):
+            put("<p>{}</p>", some(1, 200))
+            if draw.random() < 0.2:
+                words, more = say(some(20, 60)), next(numbers)
+                wanted.add(f"{words} w{more} stone bridge")
+                good.append(f'<p>{words} <a href="/x">w{more} stone bridge</a></p>')  # a paragraph with a link
+        if plain:
+            for n in (some(25, 80), some(25, 80), some(1, 9)):
+                put("<p>{}</p>", n)
+        if draw.random() < 0.3:
+            put("<ul><li>{}</li></ul>", some(2, 9))
+            put("<blockquote>{}</blockquote>", some(6, 40))
+        if draw.random() < 0.2 and not plain:
+            put("<table><tr><td>{}</td></tr></table>", some(1, 4))
+        if not plain:
+            good += [side[draw.choice(inside)]() for _ in range(draw.randint(0, 2))]
+        before, after = ("".join(side[draw.choice(list(side))]() for _ in range(draw.randint(0, 3))) for _ in range(2))
+        whole = draw.choice(wrappers).format(layout.format("".join(good)))
+        out.append((f"<html><head><title>{say(4)}</title></head><body>{before}{whole}{after}</body></html>", wanted))
     return out
 
 
