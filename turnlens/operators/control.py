@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,17 +11,26 @@ from pyspark.sql import functions as F
 from turnlens.functions import vocab
 
 
+def instead(last: str, kind: str) -> str:
+    """The type asked after ``last`` where the rules propose ``kind``."""
+    if kind == last:
+        return vocab.INSTEAD_OF_SAME.get(last, "Clarification")
+    return vocab.INSTEAD_OF_FOLLOW_UP.get(last, kind) if kind == "Follow-Up" else kind
+
+
+#: :func:`instead` for every pair of types, as one table.
+INSTEAD = {(last, kind): instead(last, kind) for last in ("Seed", *(t[0] for t in vocab.QUERY_TYPES)) for kind in (t[0] for t in vocab.QUERY_TYPES)}
+
+
 def next_type(outcome: Column, last: Column, n_correct: Column, turn_id: Column) -> Column:
-    """The next question type from the outcome of a turn (n_correct counts it)."""
-    ramp = F.element_at(F.array(*(F.lit(x) for x in vocab.ESCALATION)), (n_correct % len(vocab.ESCALATION) + 1).cast("int"))
-    first = (
-        F.when(outcome == "wrong", "Correction").when(outcome == "hallucinated", "Unanswerable")
-        .when(outcome == "abstained", F.when(turn_id % 2 == 0, "Clarification").otherwise("Follow-Up"))
-        .when(n_correct % 4 == 0, "Topic Shift").otherwise(ramp)
-    )
-    fresh = F.when(first == last, F.when(last != "Clarification", "Clarification").otherwise("Comparative")).otherwise(first)
-    unclear = (fresh == "Follow-Up") & last.isin("Comparative", "Multi-Hop", "Ambiguous Reference", "Clarification")
-    return F.when(unclear, F.when(last == "Clarification", "Comparative").otherwise("Clarification")).otherwise(fresh)
+    """The next question type from the outcome of a turn (n_correct counts it): two lookups in the rule tables."""
+    strings = lambda xs: F.array(*(F.lit(x) for x in xs))
+    kind = F.element_at(strings(vocab.AFTER_CORRECT), (n_correct % len(vocab.AFTER_CORRECT) + 1).cast("int"))
+    for failed, by_parity in vocab.AFTER_FAILURE.items():
+        kind = F.when(outcome == failed, F.element_at(strings(by_parity), (turn_id % 2 + 1).cast("int"))).otherwise(kind)
+    moved = {f"{last}|{kind}": to for (last, kind), to in INSTEAD.items() if kind != to}
+    table = F.create_map(*(F.lit(x) for pair in moved.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, F.concat(last, F.lit("|"), kind)), kind)
 
 
 def fold(log: DataFrame, key: str = "conversation_id", start: str = "Seed") -> DataFrame:
@@ -43,19 +53,16 @@ def forced(turn_id: Column, types: Sequence[str]) -> Column:
 
 def template(kind: Column, e0: Column, e1: Column) -> Column:
     """A question of each type about one or two entities, without a model."""
-    a, b = F.coalesce(e0, F.lit("the main subject")), F.coalesce(e1, e0, F.lit("the main subject"))
-    say = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
-    texts = {
-        "Follow-Up": F.lit("What more can you tell me about it?"),
-        "Clarification": F.lit("Can you explain that more simply?"),
-        "Comparative": say("How do ", a, " and ", b, " compare?"),
-        "Correction": say("Actually, I meant ", b, ", not ", a, ". What about ", b, "?"),
-        "Topic Shift": say("Now tell me about ", b, "."),
-        "Unanswerable": say("What is ", a, "'s personal TikTok username?"),
-        "Multi-Hop": say("Based on what we discussed, how is ", a, " connected to ", b, "?"),
-        "Ambiguous Reference": F.lit("What else is it known for?"),
-    }
+    names = {"{0}": F.coalesce(e0, F.lit(vocab.MAIN_SUBJECT)), "{1}": F.coalesce(e1, e0, F.lit(vocab.MAIN_SUBJECT))}
     out = F.lit(None).cast("string")
-    for name, text in texts.items():
-        out = F.when(kind == name, text).otherwise(out)
+    for name, text in vocab.TEMPLATES.items():
+        parts = [names.get(x, F.lit(x)) for x in re.split(r"(\{[01]\})", text) if x]
+        out = F.when(kind == name, F.concat(*parts)).otherwise(out)
     return out
+
+
+def random_type(seed: int, *keys: Column) -> Column:
+    """A type drawn by a seed and the keys of a turn, each as likely as any other."""
+    types = F.array(*(F.lit(t[0]) for t in vocab.QUERY_TYPES))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys))), 1, 8), 16, 10).cast("long")
+    return F.element_at(types, (drawn % len(vocab.QUERY_TYPES) + 1).cast("int"))

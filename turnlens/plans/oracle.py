@@ -23,9 +23,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "bench": ((), "SELECT item_id, substring(text, 1, length(text) // 2) AS question, substring(text, length(text) // 2 + 1) AS gold, text FROM benchmark"),
     "chunks": (
         (),
-        """SELECT doc_id * 64 + pos AS chunk_id, doc_id, pos, text FROM (
+        """SELECT doc_id * 1048576 + pos AS chunk_id, doc_id, pos, text FROM (
              SELECT doc_id, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS pos FROM (
-               SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda p: regexp_replace(trim(p), '[ \\t\\n\\f\\r]{2,}', ' ', 'g')), lambda p: length(p) > 80)[1:40] AS ps FROM documents))""",
+               SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda p: regexp_replace(trim(p), '[ \\t\\n\\f\\r]{2,}', ' ', 'g')), lambda p: length(p) > 80) AS ps FROM documents))""",
     ),
     "postings": (("chunks",), f"SELECT chunk_id, unnest({tokens('text')}) AS token FROM chunks"),
     "idf": (("postings",), "SELECT token, df, ln((n + 1) / (df + 1)) + 1 AS idf FROM (SELECT token, count(*) AS df FROM postings GROUP BY token), (SELECT count(*) AS n FROM chunks)"),

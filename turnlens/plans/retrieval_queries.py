@@ -14,8 +14,9 @@ from turnlens.plans.oracle import sql, tokens
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Queries (every id divisible by 20) and all vectors, those of the queries too."""
     vecs = v.vecs(spark, sf)
-    return vecs.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("emb").alias("qemb"), F.col("label").alias("qlabel")), vecs.filter("vec_id % 50 <> 0")
+    return vecs.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("emb").alias("qemb"), F.col("label").alias("qlabel")), vecs
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +37,7 @@ def history_queries(spark: SparkSession, sf: str) -> DataFrame:
     """User questions with the two messages before them as the query: qid, question, query, gold."""
     w = Window.partitionBy("conv_id").orderBy("turn_id").rowsBetween(-1, -1)
     last = F.collect_list(F.concat_ws(" ", "question", "gold")).over(w)
-    rows = v.qa_turns(spark, sf).select("conv_id", "turn_id", "question", "gold", F.trim(F.concat_ws(" ", F.array_join(last, " "), "question")).alias("query")).filter("conv_id % 10 = 0")
+    rows = v.qa_turns(spark, sf).select("conv_id", "turn_id", "question", "gold", F.trim(F.concat_ws(" ", F.array_join(last, " "), "question")).alias("query"))
     return rows.withColumn("qid", F.col("conv_id") * 1000 + F.col("turn_id"))
 
 
@@ -168,9 +169,9 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _DENSE = lambda k: f"""SELECT qid, rank, vec_id, score FROM (SELECT qid, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, vec_id) AS rank FROM (
-      SELECT q.vec_id AS qid, c.vec_id, list_dot_product(q.emb, c.emb) AS s FROM vecs q, vecs c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0)) WHERE rank <= {k}"""
+      SELECT q.vec_id AS qid, c.vec_id, list_dot_product(q.emb, c.emb) AS s FROM vecs q, vecs c WHERE q.vec_id % 20 = 0)) WHERE rank <= {k}"""
 _HQ = """SELECT conv_id * 1000 + turn_id AS qid, question, gold, trim(concat_ws(' ', coalesce(p, ''), question)) AS query FROM (
-      SELECT *, lag(question || ' ' || gold) OVER (PARTITION BY conv_id ORDER BY turn_id) AS p FROM qa_turns) WHERE conv_id % 10 = 0"""
+      SELECT *, lag(question || ' ' || gold) OVER (PARTITION BY conv_id ORDER BY turn_id) AS p FROM qa_turns)"""
 
 
 def _search(name: str, queries: str, text: str, key: str, units: str, k: int) -> dict[str, str]:
@@ -214,7 +215,7 @@ SQL = {
         f"SELECT qid, new AS rank, vec_id FROM (SELECT t.qid, t.vec_id, row_number() OVER (PARTITION BY t.qid ORDER BY (c.label = q.label)::INT DESC, t.rank) AS new FROM t JOIN vecs c USING (vec_id) JOIN vecs q ON q.vec_id = t.qid) WHERE new <= 5", "vecs", more={"t": _DENSE(20)}
     ),
     "vector_rag": _rag("chunks", 5),
-    "long_rag": _rag("units", 2, {"units": "SELECT doc_id * 64 + pos // 5 AS chunk_id, string_agg(text, E'\\n' ORDER BY pos) AS text FROM chunks GROUP BY doc_id, pos // 5"}),
+    "long_rag": _rag("units", 2, {"units": "SELECT doc_id * 1048576 + pos // 5 AS chunk_id, string_agg(text, E'\\n' ORDER BY pos) AS text FROM chunks GROUP BY doc_id, pos // 5"}),
     "mock_rag": sql(
         "SELECT qid, starved, used, count(*) AS n_docs, arg_min(chunk_id, rank) AS first FROM top JOIN mq USING (qid) WHERE NOT starved OR rank = 1 GROUP BY qid, starved, used",
         "qa_turns", "chunks", more={"hq": _HQ, "mq": f"SELECT qid, {_COIN('history')} > 0.4 AS used, {_COIN('starve')} < 0.25 AS starved, CASE WHEN {_COIN('history')} > 0.4 THEN query ELSE question END AS query FROM hq", **_search("top", "mq", "query", "qid", "chunks", 3)},
@@ -240,7 +241,7 @@ SQL = {
     "union_corpus": sql("SELECT lang, count(*) AS n, sum(chunk_id)::BIGINT AS id_sum FROM (SELECT min(chunk_id) AS chunk_id FROM chunks GROUP BY text) JOIN chunks USING (chunk_id) JOIN documents USING (doc_id) GROUP BY lang", "chunks"),
     "doc_similarity": sql(
         """SELECT qid, vec_id, score AS to_question, round(list_dot_product(c.emb, mean) / (sqrt(list_dot_product(c.emb, c.emb)) * sqrt(list_dot_product(mean, mean)) + 1e-9), 6) AS to_label FROM t JOIN vecs c USING (vec_id) JOIN vecs q ON q.vec_id = qid JOIN mn ON mn.label = q.label""",
-        "vecs", more={"t": _DENSE(5), "mn": "SELECT label, list(x ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(emb) AS x, generate_subscripts(emb, 1) AS i FROM vecs WHERE vec_id % 50 <> 0) GROUP BY ALL) GROUP BY label"},
+        "vecs", more={"t": _DENSE(5), "mn": "SELECT label, list(x ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(emb) AS x, generate_subscripts(emb, 1) AS i FROM vecs) GROUP BY ALL) GROUP BY label"},
     ),
     "evidence_overlap": sql(f"SELECT item_id, round(avg(best), 6) AS overlap FROM (SELECT a.item_id, a.chunk_id, max({_JAC('a.text', 'b.text')}) AS best FROM top5 a JOIN t2 b USING (item_id) GROUP BY ALL) GROUP BY item_id", "answers", more=_AGAIN),
 }

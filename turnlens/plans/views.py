@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from turnlens.functions.text import token_set
 
-#: Paragraphs of a document, and the characters one has at least.
-MAX_PARAGRAPHS, MIN_CHARS = 40, 80
-#: Chunk ids are doc_id * CHUNK_STEP + position: unique and ordered without a global sort.
-CHUNK_STEP = 64
+#: Characters that a paragraph has at least.
+MIN_CHARS = 80
+#: Chunk ids are doc_id * CHUNK_STEP + position: unique and ordered without a global sort. A document of more paragraphs would have 80 MB at least.
+CHUNK_STEP = 1 << 20
 
 TYPE_NAMES = ("Seed", "Follow-Up", "Clarification", "Comparative", "Correction", "Topic Shift", "Unanswerable", "Multi-Hop", "Ambiguous Reference")
 
@@ -28,9 +28,9 @@ def bench(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraphs of documents: split at line ends, cleaned, long enough, the first MAX_PARAGRAPHS."""
+    """All paragraphs of documents: split at line ends, cleaned, long enough."""
     clean = F.filter(F.transform(F.split("text", "\n+"), lambda p: F.regexp_replace(F.trim(p), r"[ \t\n\f\r]{2,}", " ")), lambda p: F.length(p) > MIN_CHARS)
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(clean, 1, MAX_PARAGRAPHS)).alias("pos", "text")).select(
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(clean).alias("pos", "text")).select(
         (F.col("doc_id") * CHUNK_STEP + F.col("pos")).alias("chunk_id"), "doc_id", F.col("pos").cast("long").alias("pos"), "text"
     )
 

@@ -1,7 +1,7 @@
 """An extension: the controller and the outcome profile over live turns.
 
 The batch engine covers everything that needs no clock; these keep the same
-rules over a stream. Late turns are bounded by the watermark.
+rule tables over a stream. Late turns are bounded by the watermark.
 """
 
 from __future__ import annotations
@@ -14,28 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnlens.functions import vocab
+from turnlens.operators.control import INSTEAD
 
 STATE = "last string, n_correct long, turn_id long"
 OUT = "conversation_id long, turn_id long, outcome string, next_type string"
 
 
-def next_type(outcome: str, last: str, n_correct: int, turn_id: int) -> str:
-    """The controller's rule for one turn, equal to the column in ``operators.control``."""
-    if outcome == "wrong":
-        kind = "Correction"
-    elif outcome == "hallucinated":
-        kind = "Unanswerable"
-    elif outcome == "abstained":
-        kind = "Follow-Up" if turn_id % 2 else "Clarification"
-    else:
-        kind = vocab.ESCALATION[n_correct % 3] if n_correct % 4 else "Topic Shift"
-    if kind == last:
-        kind = "Comparative" if last == "Clarification" else "Clarification"
-    if kind == "Follow-Up" and last in ("Comparative", "Multi-Hop", "Ambiguous Reference", "Clarification"):
-        kind = "Comparative" if last == "Clarification" else "Clarification"
-    return kind
-
-
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, n, turn = state.get if state.exists else ("Seed", 0, -1)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
@@ -43,7 +27,8 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     for outcome in rows["outcome"]:
         turn += 1
         n += outcome == "correct"
-        last = next_type(outcome, last, n, turn)
+        by_parity = vocab.AFTER_FAILURE.get(outcome)
+        last = INSTEAD[last, by_parity[turn % 2] if by_parity else vocab.AFTER_CORRECT[n % len(vocab.AFTER_CORRECT)]]
         out.append((key[0], turn, outcome, last))
     state.update((last, int(n), int(turn)))
     yield pd.DataFrame(out, columns=["conversation_id", "turn_id", "outcome", "next_type"])
