@@ -94,7 +94,7 @@ def _cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ctx = kept(ctx)
     got = study.answered(cases, ctx, F.col("question"), "answer")
     shown = ctx.groupBy("case_id").agg(F.collect_list("text").alias("ctx"))
-    fired = got.join(shown, "case_id").withColumn("fired", match.did_fail(F.col("gold"), F.col("answer"), F.lit(False))).withColumn("present", match.gold_in_context(F.col("passage"), F.col("ctx")))
+    fired = got.join(shown, "case_id").withColumn("fired", match.did_fail(F.col("gold"), F.col("answer"), F.col("unanswerable"))).withColumn("present", match.gold_in_context(F.col("passage"), F.col("ctx")))
     return kept(fired), ctx
 
 
@@ -107,30 +107,38 @@ def attrib_single(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def attrib_static(spark: SparkSession, sf: str) -> DataFrame:
-    """Attribution by whether a fresh search recovers the answer."""
-    rows, _ = _cases(spark, sf)
+def _recovered(spark: SparkSession, sf: str, fired: DataFrame) -> DataFrame:
+    """(case_id, core, follow_up): whether a fresh search for a sub-question of either kind recovers the answer."""
     chunks = v.chunks(spark, sf)
     post = v.postings(chunks)
-    asked = rows.filter("fired").select("case_id", F.explode(tq.t.token_set(F.col("question"))).alias("token"))
-    found = tq.r.lexical_topk(asked, post, tq.r.idf(post, chunks), 5, query="case_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    again = study.answered(rows.filter("fired"), found, F.col("question"), "again")
-    pred = study.base(match.lexical_correct(F.col("gold"), F.col("again")), F.col("present"))
-    return again.groupBy("truth", pred.alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    subs = kept(study.sub_questions(fired).withColumn("sid", F.concat_ws("#", "case_id", "i")))
+    found = tq.r.lexical_topk(subs.select("sid", F.explode(tq.t.token_set(F.col("question"))).alias("token")), post, tq.r.idf(post, chunks), 5, query="sid").join(chunks.select("chunk_id", "text"), "chunk_id")
+    again = subs.join(tq.r.extractive(subs, found, "sid"), "sid").join(fired.select("case_id", "gold"), "case_id")
+    right = match.lexical_correct(F.col("gold"), F.col("answer"))
+    by = again.groupBy("case_id").agg(*(F.coalesce(F.bool_or(right & (F.col("kind") == k)), F.lit(False)).alias(n) for k, n in (("core", "core"), ("follow-up", "follow_up"))))
+    return fired.select("case_id").join(by, "case_id", "left").select("case_id", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("follow_up", F.lit(False)).alias("follow_up"))
+
+
+def attrib_static(spark: SparkSession, sf: str) -> DataFrame:
+    """Attribution by whether a fresh search for core sub-questions recovers the answer."""
+    fired = _cases(spark, sf)[0].filter("fired")
+    rows = fired.join(_recovered(spark, sf, fired), "case_id")
+    return rows.groupBy("truth", study.base(F.col("core"), F.col("present")).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def attrib_dynamic(spark: SparkSession, sf: str) -> DataFrame:
-    """The probing protocol: the named question, the passage itself, then the base rule."""
+    rows, ctx = _cases(spark, sf)
+    return study.dynamic(rows.filter("fired"), ctx).groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def study_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The four predictors over the same fired cases: by method and truth, cases and how many are told right."""
     rows, ctx = _cases(spark, sf)
     fired = rows.filter("fired")
-    named = study.answered(fired, ctx, F.col("antecedent"), "a1")
-    both = study.answered(named, fired.select("case_id", F.lit(1).alias("rank"), F.col("passage").alias("text")), F.col("question"), "a2")
-    pred = (
-        F.when((F.col("antecedent") != "") & match.lexical_correct(F.col("gold"), F.col("a1")), "Conversation")
-        .when(match.lexical_correct(F.col("gold"), F.col("a2")), "Retrieval")
-        .otherwise(study.base(F.lit(False), F.col("present")))
-    )
-    return both.groupBy("truth", pred.alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    probed = study.dynamic(fired, ctx).join(_recovered(spark, sf, fired), "case_id")
+    preds = (study.base(F.lit(False), F.col("present")), study.base(F.col("core"), F.col("present")), study.base(F.col("follow_up"), F.col("present")), F.col("pred"))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), p.alias("pred")) for m, p in zip(vocab.METHODS, preds, strict=True))))
+    return probed.select("truth", each.alias("m")).groupBy("m.method", "truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m.pred") == F.col("truth")).alias("n_right"))
 
 
 def adaptive_loop(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +156,7 @@ def hippo_rag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    adaptive_loop, hippo_rag, method_matrix, query_templates, reroute, controller_fold, forced_types, single_turn, ablation_delta, counterfactual_probe, distractors, near_miss, inject_cases, attrib_single, attrib_static, attrib_dynamic,
+    adaptive_loop, hippo_rag, method_matrix, query_templates, reroute, controller_fold, forced_types, single_turn, ablation_delta, counterfactual_probe, distractors, near_miss, inject_cases, attrib_single, attrib_static, attrib_dynamic, study_scores,
 )}
 
 _vals = lambda n, xs: f"(VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in xs)}) {n}_t({n})"
@@ -165,16 +173,48 @@ _SEEDS = {
     "dis": "SELECT item_id, d, text FROM (SELECT s.item_id, c.text, row_number() OVER (PARTITION BY s.item_id ORDER BY c.item_id, c.pos) AS d FROM seeds s JOIN ctxs c ON c.item_id <> s.item_id) WHERE d <= 5",
     "near": f"""SELECT item_id, d, text FROM (SELECT item_id, text, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS d FROM ctxs JOIN seeds USING (item_id) WHERE pos > 0 AND NOT (trim(answer) <> '' AND (contains(lower(text), trim(lower(answer))) OR {share(tokens('answer'), tokens('text'))} >= 0.6))) WHERE d <= 3""",
 }
+def _grounded(questions: str, contexts: str) -> str:
+    """(case_id, grounded) as :func:`study.grounding` has it."""
+    return f"""SELECT q.case_id, coalesce(g, 0.0) AS grounded FROM {questions} q LEFT JOIN (
+        SELECT case_id, max(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, {tokens('sent')})) / len(q) END) AS g FROM (
+          SELECT case_id, {tokens('question')} AS q, unnest(string_split(regexp_replace(x.text, '([.!?])[ \\t\\n\\f\\r]+', '\\1␞', 'g'), '␞')) AS sent FROM {contexts} x JOIN {questions} USING (case_id)) GROUP BY case_id) b ON b.case_id = q.case_id"""
+
+
 _CASES = {
     **_SEEDS,
-    "cs": """SELECT format('ret-{:03d}', item_id) AS case_id, 'Retrieval' AS truth, question, '' AS antecedent, answer AS gold, passage FROM seeds
-        UNION ALL SELECT format('con-{:03d}', item_id), 'Conversation', '""" + vocab.PRONOUN_QUESTION + """', 'What is ' || answer || ' most associated with there?', answer, passage FROM seeds""",
-    "cx": """SELECT format('ret-{:03d}', item_id) AS case_id, d AS rank, text FROM near UNION ALL SELECT format('ret-{:03d}', item_id), d, text FROM dis WHERE d <= 3 AND item_id NOT IN (SELECT item_id FROM near)
+    "gen": "SELECT format('gen-{:03d}', item_id) AS case_id, question || '" + vocab.ABSENT_DETAIL + "' AS question FROM seeds",
+    "gen_x": "SELECT format('gen-{:03d}', item_id) AS case_id, 1 AS rank, passage AS text FROM seeds UNION ALL SELECT format('gen-{:03d}', item_id), d + 1, text FROM dis WHERE d <= 2",
+    "gen_g": _grounded("gen", "gen_x"),
+    "cs": """SELECT format('ret-{:03d}', item_id) AS case_id, 'Retrieval' AS truth, question, '' AS antecedent, '' AS referent, answer AS gold, passage, false AS unanswerable FROM seeds
+        UNION ALL SELECT format('con-{:03d}', item_id), 'Conversation', '""" + vocab.PRONOUN_QUESTION + """', 'What is ' || answer || ' most associated with there?', trim(answer), answer, passage, false FROM seeds
+        UNION ALL SELECT case_id, 'Generation', question, '', '', 'I don''t know.', '', true FROM gen JOIN gen_g USING (case_id) WHERE grounded < 0.5""",
+    "cx": """SELECT case_id, rank, text FROM gen_x JOIN gen_g USING (case_id) WHERE grounded < 0.5 UNION ALL SELECT format('ret-{:03d}', item_id) AS case_id, d AS rank, text FROM near UNION ALL SELECT format('ret-{:03d}', item_id), d, text FROM dis WHERE d <= 3 AND item_id NOT IN (SELECT item_id FROM near)
         UNION ALL SELECT format('con-{:03d}', item_id), 1, passage FROM seeds UNION ALL SELECT format('con-{:03d}', item_id), 2, text FROM dis WHERE d = 1""",
     **rq._extract("an", "cs", "cx", "case_id"),
-    "ca": f"""SELECT cs.*, an.answer, NOT {_CORR.format(g='gold', a='answer')} AS fired, coalesce((SELECT bool_or({share(tokens('cs.passage'), tokens('cx.text'))} >= 0.5) FROM cx WHERE cx.case_id = cs.case_id), false) AS present FROM cs JOIN an USING (case_id)""",
+    "ca": f"""SELECT cs.*, an.answer, CASE WHEN unanswerable THEN NOT {tq._any('answer', vocab.STUDY_ABSTENTIONS)} ELSE NOT {_CORR.format(g='gold', a='answer')} END AS fired, coalesce((SELECT bool_or({share(tokens('cs.passage'), tokens('cx.text'))} >= 0.5) FROM cx WHERE cx.case_id = cs.case_id), false) AS present FROM cs JOIN an USING (case_id)""",
     "fired": "SELECT * EXCLUDE (answer) FROM ca WHERE fired",
 }
+_STATIC = {
+    "sub": r"""SELECT case_id, case_id || '#' || i AS sid, i, CASE WHEN i = 0 THEN 'core' ELSE 'follow-up' END AS kind, question FROM (SELECT case_id, unnest(ps) AS question, generate_subscripts(ps, 1) - 1 AS i FROM (
+        SELECT case_id, list_filter(list_transform(string_split(regexp_replace(question, '([.!?])[ \t\n\f\r]+', '\1␞', 'g'), '␞'), lambda s: trim(s)), lambda s: s <> '')[1:6] AS ps FROM fired))""",
+    **rq._search("fs", "sub", "question", "sid", "chunks", 5),
+    **rq._extract("ag", "sub", "fs", "sid"),
+    "rec": f"""SELECT f.case_id, coalesce(bool_or(kind = 'core' AND ok), false) AS core, coalesce(bool_or(kind = 'follow-up' AND ok), false) AS follow_up FROM fired f LEFT JOIN (
+        SELECT sub.case_id, kind, {_CORR.format(g='gold', a='answer')} AS ok FROM sub JOIN ag USING (sid) JOIN fired g ON g.case_id = sub.case_id) s ON s.case_id = f.case_id GROUP BY f.case_id""",
+}
+_PROBE = "'In the question \"' || question || '\", what specific entity does the pronoun refer to? Reply with ONLY the entity name.'"
+_DYNAMIC = {
+    "nq": "SELECT case_id, antecedent AS question FROM fired", **rq._extract("p1", "nq", "cx", "case_id"),
+    "ps": "SELECT case_id, 1 AS rank, passage AS text FROM fired WHERE passage <> ''", **rq._extract("p2", "fired", "ps", "case_id"),
+    "rp": f"SELECT case_id, {_PROBE} AS question FROM fired", **rq._extract("r0", "rp", "cx", "case_id"),
+    "hx": "SELECT * FROM cx UNION ALL SELECT case_id, 0, referent FROM fired WHERE referent <> ''", **rq._extract("r1", "rp", "hx", "case_id"),
+    "gr": _grounded("fired", "cx"),
+    "dyn": f"""SELECT case_id, truth, present, CASE WHEN antecedent <> '' AND {_CORR.format(g='gold', a='a1')} THEN 'Conversation'
+            WHEN referent <> '' AND {_CORR.format(g='referent', a='r1')} AND NOT {_CORR.format(g='referent', a='r0')} THEN 'Conversation'
+            WHEN passage <> '' AND {_CORR.format(g='gold', a='a2')} THEN 'Retrieval' WHEN grounded < 0.5 AND NOT {tq._any('a', vocab.STUDY_ABSTENTIONS)} THEN 'Generation' WHEN present THEN 'Generation' ELSE 'Retrieval' END AS pred
+        FROM (SELECT fired.*, ca.answer AS a, p1.answer AS a1, p2.answer AS a2, r0.answer AS r0, r1.answer AS r1, grounded FROM fired JOIN ca USING (case_id) JOIN p1 USING (case_id) JOIN p2 USING (case_id) JOIN r0 USING (case_id) JOIN r1 USING (case_id) JOIN gr USING (case_id))""",
+}
+_BASE = "CASE WHEN {r} OR present THEN 'Generation' ELSE 'Retrieval' END"
 _s = lambda body, more=None: sql(body, "bench", "top5", more={**_CASES, **(more or {})})
 SQL = {
     "method_matrix": f"SELECT * FROM {_vals('method', _METHODS)}, {_vals('rag', _RAGS)}, {_vals('dataset', _DATA)} WHERE NOT (dataset = 'official' AND rag IN ('graph', 'raptor', 'hippo')) AND (method = 'mtrag') = (dataset = 'official')",
@@ -202,14 +242,13 @@ SQL = {
     "near_miss": sql("SELECT item_id, d, md5(text) AS text_md5 FROM near", "bench", "top5", more=_SEEDS),
     "inject_cases": _s("SELECT case_id, truth, fired, present, md5(answer) AS answer_md5 FROM ca"),
     "attrib_single": _s("SELECT truth, CASE WHEN present THEN 'Generation' ELSE 'Retrieval' END AS pred, count(*) AS n FROM fired GROUP BY ALL"),
-    "attrib_static": _s(
-        f"SELECT truth, CASE WHEN present OR {_CORR.format(g='gold', a='answer')} THEN 'Generation' ELSE 'Retrieval' END AS pred, count(*) AS n FROM fired JOIN ag USING (case_id) GROUP BY ALL",
-        {**rq._search("fs", "fired", "question", "case_id", "chunks", 5), **rq._extract("ag", "fired", "fs", "case_id")},
-    ),
-    "attrib_dynamic": _s(
-        f"""SELECT truth, CASE WHEN antecedent <> '' AND {_CORR.format(g='gold', a='a1')} THEN 'Conversation' WHEN {_CORR.format(g='gold', a='a2')} THEN 'Retrieval' WHEN present THEN 'Generation' ELSE 'Retrieval' END AS pred, count(*) AS n
-            FROM (SELECT fired.*, p1.answer AS a1, p2.answer AS a2 FROM fired JOIN p1 USING (case_id) JOIN p2 USING (case_id)) GROUP BY ALL""",
-        {"nq": "SELECT case_id, antecedent AS question FROM fired", **rq._extract("p1", "nq", "cx", "case_id"), "ps": "SELECT case_id, 1 AS rank, passage AS text FROM fired", **rq._extract("p2", "fired", "ps", "case_id")},
+    "attrib_static": _s(f"SELECT truth, {_BASE.format(r='core')} AS pred, count(*) AS n FROM fired JOIN rec USING (case_id) GROUP BY ALL", _STATIC),
+    "attrib_dynamic": _s("SELECT truth, pred, count(*) AS n FROM dyn GROUP BY ALL", _DYNAMIC),
+    "study_scores": _s(
+        "SELECT method, truth, count(*) AS n, count(*) FILTER (pred = truth) AS n_right FROM ("
+        + " UNION ALL ".join(f"SELECT '{m}' AS method, truth, {p} AS pred FROM dyn JOIN rec USING (case_id)" for m, p in zip(vocab.METHODS, (*(_BASE.format(r=r) for r in ("false", "core", "follow_up")), "pred"), strict=True))
+        + ") GROUP BY ALL",
+        _STATIC | _DYNAMIC,
     ),
 }
 _fold = f"""SELECT conversation_id, -1::BIGINT AS turn_id, 'Seed' AS last, 0::BIGINT AS n FROM (SELECT DISTINCT conversation_id FROM log)

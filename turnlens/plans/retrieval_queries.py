@@ -192,7 +192,7 @@ def _extract(name: str, questions: str, top: str, key: str) -> dict[str, str]:
         name: f"""SELECT b.{key}, coalesce(nullif(a.answer, ''), f.text, 'I don''t know.') AS answer FROM {questions} b
           LEFT JOIN (SELECT {key}, answer FROM (SELECT {key}, trim(sent) AS answer, {score} AS score, row_number() OVER (PARTITION BY {key} ORDER BY {score} DESC, rank, spos) AS rn FROM (
             SELECT {key}, {tokens('question')} AS q, rank, unnest(ss) AS sent, generate_subscripts(ss, 1) AS spos FROM (SELECT {key}, question, rank, string_split(regexp_replace(t.text, '([.!?])[ \\t\\n\\f\\r]+', '\\1␞', 'g'), '␞') AS ss FROM {top} t JOIN {questions} USING ({key}))))
-            WHERE rn = 1 AND score > 0) a USING ({key}) LEFT JOIN (SELECT {key}, substring(text, 1, 200) AS text FROM {top} WHERE rank = 1) f ON f.{key} = b.{key}"""
+            WHERE rn = 1 AND score > 0) a USING ({key}) LEFT JOIN (SELECT {key}, arg_min(substring(text, 1, 200), rank) AS text FROM {top} GROUP BY {key}) f ON f.{key} = b.{key}"""
     }
 
 
