@@ -69,6 +69,18 @@ def neighbours(frontier: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return out.unionByName(back).distinct().join(frontier, [key, "node"], "left_anti")
 
 
+def reached(start: DataFrame, edges: DataFrame, key: str, hops: int) -> DataFrame:
+    """(key, node, hop): nodes within ``hops`` edges of (key, node), at the least number of them, without the start."""
+    seen = frontier = start.select(key, "node")
+    out: DataFrame | None = None
+    for hop in range(1, hops + 1):
+        frontier = kept(neighbours(frontier, edges, key).join(seen, [key, "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+        step = frontier.withColumn("hop", F.lit(hop).cast("long"))
+        out = step if out is None else out.unionByName(step)
+    return out
+
+
 def support(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     """(source, target, chunk_id): chunks that mention both ends of an edge."""
     pairs = edges.select("source", "target").distinct()
