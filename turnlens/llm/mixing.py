@@ -199,9 +199,10 @@ def _filled(rows: DataFrame, mix: Mix, state: dict[str, tuple[list, int]]) -> di
     open_ = F.broadcast(rows.sparkSession.createDataFrame(some, f"_pattern string, {RANGES}, _left long"))
     sized = rows.join(open_, "_pattern").filter("_size > 0").withColumn("_in", _chosen().cast("int"))
     # rows that are equal throughout are taken alike: their sizes count together
-    first = F.min(F.struct("_h", "_size")).alias("m")
-    least = sized.groupBy("_pattern", "_in", klass.alias("k"), F.pmod(F.col("_h"), F.lit(FILLERS)).alias("f")).agg(first).select("_pattern", "_in", "k", "f", "m.*")
-    picks = sized.join(F.broadcast(least), ["_pattern", "_in", "_h", "_size"]).groupBy(*least.columns).agg(F.count(F.lit(1)).alias("n")).collect()
+    kinds = ["_pattern", "_in", "k", "f"]
+    sized = sized.filter("_in = 1 or _size <= _left").withColumns({"k": klass, "f": F.pmod(F.col("_h"), F.lit(FILLERS))})
+    least = sized.groupBy(*kinds).agg(F.min("_h").alias("_h"))
+    picks = sized.join(F.broadcast(least), [*kinds, "_h"]).groupBy(*kinds, "_h", "_size").agg(F.count(F.lit(1)).alias("n")).collect()
     found: dict[str, list] = {}
     for r in sorted(picks, key=lambda r: (r["_pattern"], r["_in"], -r["k"], r["f"])):
         found.setdefault(r["_pattern"], []).append(r)
