@@ -20,6 +20,12 @@ STATE = "last string, n_correct long, turn_id long"
 OUT = "conversation_id long, turn_id long, outcome string, next_type string"
 
 
+def next_type(outcome: str, last: str, n_correct: int, turn_id: int) -> str:
+    """Two lookups in the rule tables that the column in ``operators.control`` reads, too."""
+    failed = vocab.AFTER_FAILURE.get(outcome)
+    return INSTEAD[last, failed[turn_id % 2] if failed else vocab.AFTER_CORRECT[n_correct % len(vocab.AFTER_CORRECT)]]
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, n, turn = state.get if state.exists else ("Seed", 0, -1)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
@@ -27,8 +33,7 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     for outcome in rows["outcome"]:
         turn += 1
         n += outcome == "correct"
-        by_parity = vocab.AFTER_FAILURE.get(outcome)
-        last = INSTEAD[last, by_parity[turn % 2] if by_parity else vocab.AFTER_CORRECT[n % len(vocab.AFTER_CORRECT)]]
+        last = next_type(outcome, last, n, turn)
         out.append((key[0], turn, outcome, last))
     state.update((last, int(n), int(turn)))
     yield pd.DataFrame(out, columns=["conversation_id", "turn_id", "outcome", "next_type"])
