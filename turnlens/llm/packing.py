@@ -35,8 +35,7 @@ import os
 import re
 import struct
 from collections import defaultdict, deque
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +51,7 @@ END = 1
 #: Windows that a task keeps open at most: 32 MB of ids at 2048 a window.
 OPEN_WINDOWS = 4096
 #: Characters of segments, with 64 for each, that a worker remembers.
-MEMO_CHARS = 1 << 26
+MEMO_CHARS = 1 << 27
 #: Pieces in a batch of results.
 BATCH_PIECES = 512
 #: Characters of a long text that are cut into segments at once.
@@ -60,18 +59,16 @@ BLOCK_CHARS = 1 << 20
 #: White space by no definition: ASCII marks, letters and digits, and Latin letters.
 _SOLID = "!-~À-ɏ"
 _LETTER = "A-Za-z0-9À-ÖØ-öø-ɏ"
-#: No split of the vocabulary holds white space behind what is none, or a mark behind letters (but for an apostrophe).
+#: All ASCII marks but the apostrophe, which some splits begin with.
+_MARK = r"!-&(-/:-@\[-`{-~"
 _BEFORE_SPACE = rf"(?<=[{_SOLID}])(?= )"
-_BEFORE_ANY = rf"(?<=[{_SOLID}])(?=[ \n\t\r])|(?<=[{_LETTER}])(?=[!-&(-/:-@\[-`{{-~])"
+#: Segments: letters, marks, and whatever else up to white space behind what is none, or to a mark behind letters.
+#: No split of the vocabulary goes on over the end of any of them.
+_SEGMENT = rf"(?s) ?[{_LETTER}]+(?=[ \n\r\t{_MARK}]|\Z)| ?[{_MARK}]+(?=[ \n\r\t{_LETTER}]|\Z)|.+?(?:(?<=[{_SOLID}])(?=[ \n\r\t])|(?<=[{_LETTER}])(?=[{_MARK}])|\Z)"
 
 
 class Encoder:
-    """Packed ids of texts, by the ids of their segments, of which it remembers a bounded amount.
-
-    Texts are cut at single spaces, and what stands between two is looked up.
-    What is new is cut into finer segments; those that are new as well go to
-    the tokenizer together.
-    """
+    """Packed ids of texts, by the ids of their segments, of which it remembers a bounded amount; new ones go to the tokenizer together."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a worker: Spark has the others
@@ -79,37 +76,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.odd_space = re.compile(rf"(?<![{_SOLID}]) ")
-        self.before_space, self.before_any = re.compile(_BEFORE_SPACE), re.compile(_BEFORE_ANY)
-        self.words: dict[str, bytes] = {}  # what follows a space, up to the next
-        self.fine: dict[str, bytes] = {}
+        self.segments, self.before_space = re.compile(_SEGMENT).findall, re.compile(_BEFORE_SPACE)
+        self.known: dict[str, bytes] = {}
         self.chars = 0
 
-    def _learn(self, segments: Iterable[str]) -> None:
-        new = [x for x in dict.fromkeys(segments) if x not in self.fine]
-        for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.fine[x] = struct.pack(f"<{len(found)}I", *found.ids)
-            self.chars += len(x) + 64
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.chars > MEMO_CHARS:
-            self.words.clear()
-            self.fine.clear()
+            self.known.clear()
             self.chars = 0
-        # a space that follows another, or stands first, is part of a longer split: such a text is cut more carefully
-        parts = [None if self.odd_space.search(t) else t.split(" ") for t in texts]
-        rare = {k: self.before_any.split(t) for k, (t, p) in enumerate(zip(texts, parts, strict=True)) if p is None}
-        first = [self.before_any.split(p[0]) if p else () for p in parts]
-        new = {w for p in parts if p for w in islice(p, 1, None)}.difference(self.words)
-        cut = {w: self.before_any.split(" " + w) for w in new}
-        self._learn(chain.from_iterable(chain(cut.values(), rare.values(), first)))
-        fine, words = self.fine.__getitem__, self.words
-        for w, segments in cut.items():
-            words[w] = b"".join(map(fine, segments))
-            self.chars += len(w) + 64
-        return [
-            b"".join(map(fine, rare[k])) if p is None else b"".join((*map(fine, first[k]), *map(words.__getitem__, islice(p, 1, None)))) for k, p in enumerate(parts)
-        ]
+        parts = [self.segments(t) for t in texts]
+        new = list(set().union(*parts).difference(self.known))
+        for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = found.ids
+            self.known[x] = struct.pack(f"<{len(ids)}I", *ids)
+            self.chars += len(x) + 64
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, p)) for p in parts]
 
 
 def blocks(text: str, boundary: re.Pattern) -> Iterator[str]:
