@@ -77,8 +77,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def sql(body: str, *views: str, more: dict[str, str] | None = None) -> str:
-    """``body`` under a WITH clause that defines the views it needs, then ``more``."""
+def sql(body: str, *views: str, more: dict[str, str] | None = None, once: bool = False) -> str:
+    """``body`` under a WITH clause that defines the views it needs, then ``more``; ``once`` computes each of them a single time."""
     order: list[str] = []
 
     def need(name: str) -> None:
@@ -89,7 +89,8 @@ def sql(body: str, *views: str, more: dict[str, str] | None = None) -> str:
 
     for v in views:
         need(v)
-    parts = [f"{v} AS ({VIEWS[v][1]})" for v in order] + [f"{k} AS ({v})" for k, v in (more or {}).items()]
+    how = "AS MATERIALIZED" if once else "AS"
+    parts = [f"{v} {how} ({VIEWS[v][1]})" for v in order] + [f"{k} {how} ({v})" for k, v in (more or {}).items()]
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 

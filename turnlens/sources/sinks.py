@@ -1,11 +1,11 @@
-"""Tables that a run writes and later runs read: graphs, embeddings, shared seeds, reports, review files."""
+"""Tables that a run writes and later runs read: graphs, trees, embeddings, shared seeds, reports, review files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens.operators import graph
+from turnlens.operators import graph, tree
 from turnlens.providers.base import Provider, judged
 
 MISSING = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -58,6 +58,15 @@ def shared_seeds(seeds: DataFrame, path: str, keys: tuple[str, ...] = ("dataset"
     return seeds.drop("question").join(grounded, [*keys, "seed_id"])
 
 
+def stored_tree(units: DataFrame, path: str, **options: object) -> DataFrame:
+    """The tree of summaries over ``units``: read from ``path`` if it is there, else built and written."""
+    there = stored(units.sparkSession, path)
+    if there is None:
+        tree.build(units, **options).write.parquet(path)
+        there = units.sparkSession.read.parquet(path)
+    return there
+
+
 def write_reports(reports: dict[str, DataFrame], path: str) -> None:
     """A JSON report for each name (summary, failure types, grounding, similarity, quality, scores)."""
     for name, df in reports.items():
