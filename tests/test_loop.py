@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from turnlens.operators import graph, loop, systems
+from turnlens.operators import graph, loop, pagerank, systems
 from turnlens.plans import views
 from turnlens.streaming.live import next_type
 
@@ -41,24 +42,60 @@ def test_personalised_pagerank_against_a_plain_walk(spark):
     e = graph.extract(chunks)
     edges = [(r["source"], r["target"]) for r in graph.edges_of(e).collect()]
     mentions = [(r["node_id"], r["chunk_id"]) for r in graph.mentions_of(e, graph.edges_of(e)).collect()]
+    rank = walked(edges, ["alder_river"], 4)
+    want = defaultdict(float)
+    for node, chunk in mentions:
+        want[chunk] += rank.get(node, 0.0)
+    want = sorted(((c, round(s, 6)) for c, s in want.items() if any(n in rank for n, k in mentions if k == c)), key=lambda x: (-x[1], x[0]))[:3]
+    assert [(c, pytest.approx(s)) for c, s in want] == got[1]
+    assert [c for c, _ in got[2]] == [2]  # names nothing: the best chunks by shared tokens
+
+
+def walked(edges: list[tuple[str, str]], seeds: list[str], rounds: int) -> dict[str, float]:
+    """Rank of each entity; what arrives where no relation leads on goes back to the seeds."""
     out = defaultdict(list)
     for a, b in edges:
         out[a].append(b)
-    rank = base = {"alder_river": 1.0}
-    for _ in range(4):
+    base = {s: 1 / len(seeds) for s in seeds}
+    rank = dict(base)
+    for _ in range(rounds):
         new = defaultdict(float)
+        lost = sum(r for a, r in rank.items() if not out[a])
         for a, r in rank.items():
             for b in out[a]:
                 new[b] += 0.85 * r / len(out[a])
         for a, p in base.items():
-            new[a] += 0.15 * p
+            new[a] += p * (0.15 + 0.85 * lost)
         rank = new
-    want = defaultdict(float)
-    for node, chunk in mentions:
-        want[chunk] += rank.get(node, 0.0) if node in rank else 0.0
-    want = sorted(((c, round(s, 6)) for c, s in want.items() if any(n in rank for n, k in mentions if k == c)), key=lambda x: (-x[1], x[0]))[:3]
-    assert [(c, pytest.approx(s)) for c, s in want] == got[1]
-    assert [c for c, _ in got[2]] == [0, 1, 2] and all(s is None for _, s in got[2])
+    return rank
+
+
+def test_walks_of_many_questions_with_pruning_and_tolerance(spark):
+    rng = random.Random(2)
+    edges = [(f"n{rng.randrange(40)}", f"n{rng.randrange(50)}") for _ in range(150)]
+    seeds = {q: [f"n{x}" for x in rng.sample(range(50), 3)] for q in range(6)}
+    e = spark.createDataFrame(edges, "source string, target string")
+    s = spark.createDataFrame([(q, n) for q, ns in seeds.items() for n in ns], "qid long, node string")
+    table = lambda df: {(r["qid"], r["node"]): r["r"] for r in df.collect()}
+    exact = table(pagerank.ranks(s, e, 12))
+    for q, ns in seeds.items():
+        want = walked(edges, ns, 12)
+        assert {n: r for (k, n), r in exact.items() if k == q} == {n: pytest.approx(r) for n, r in want.items()}
+        assert sum(want.values()) == pytest.approx(1)
+    for error in (0.01, 0.2):
+        pruned = table(pagerank.ranks(s, e, 12, error=error))
+        off = [sum(abs(r - pruned.get(k, 0.0)) for k, r in exact.items() if k[0] == q) for q in seeds]
+        assert max(off) <= error and (error < 0.1 or len(pruned) < len(exact))
+    settled = table(pagerank.ranks(s, e, 60, tolerance=1e-6))
+    final = table(pagerank.ranks(s, e, 60))
+    assert all(abs(final[k] - r) < 1e-5 for k, r in settled.items())
+
+
+def test_loose_links_to_names(spark):
+    names = spark.createDataFrame([("alder_river", "alder river"), ("river", "river"), ("ab", "ab"), ("oak", "oak")], "node string, name string")
+    asked = spark.createDataFrame([(1, "The RIVER is near"), (2, "alder and oaks, abx"), (3, "to be")], "qid long, query string")
+    got = sorted(map(tuple, pagerank.linked(asked, names).collect()))
+    assert got == [(1, "river"), (2, "alder_river"), (2, "oak")]  # a name means that entity alone; names of two letters are not held loosely
 
 
 def test_registry():

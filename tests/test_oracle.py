@@ -10,7 +10,7 @@ from turnlens.plans import catalog
 
 
 #: Queries whose steps feed one another; tests/test_loop.py holds them.
-WITHOUT_SQL = {"adaptive_loop", "hippo_rag"}
+WITHOUT_SQL = {"adaptive_loop"}
 
 
 def test_every_other_query_has_sql():

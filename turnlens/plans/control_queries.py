@@ -148,15 +148,8 @@ def adaptive_loop(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("qid", "turn_id", "query_type", "outcome", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
-def hippo_rag(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks by personalised PageRank from the entities that each seed's question names."""
-    asked = v.bench(spark, sf).select(F.col("item_id").alias("qid"), "question", F.col("question").alias("query"))
-    got = systems.connect("hippo")(asked, v.chunks(spark, sf), rounds=3)
-    return got.select("qid", F.explode("docs").alias("d")).select("qid", F.col("d.rank").cast("long").alias("rank"), "d.chunk_id", "d.score")
-
-
 QUERIES = {f.__name__: f for f in (
-    adaptive_loop, hippo_rag, method_matrix, query_templates, reroute, controller_fold, forced_types, single_turn, ablation_delta, counterfactual_probe, distractors, near_miss, inject_cases, attrib_single, attrib_static, attrib_dynamic, study_scores,
+    adaptive_loop, method_matrix, query_templates, reroute, controller_fold, forced_types, single_turn, ablation_delta, counterfactual_probe, distractors, near_miss, inject_cases, attrib_single, attrib_static, attrib_dynamic, study_scores,
 )}
 
 _vals = lambda n, xs: f"(VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in xs)}) {n}_t({n})"
