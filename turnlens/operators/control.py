@@ -11,26 +11,24 @@ from pyspark.sql import functions as F
 from turnlens.functions import vocab
 
 
-def instead(last: str, kind: str) -> str:
-    """The type asked after ``last`` where the rules propose ``kind``."""
-    if kind == last:
-        return vocab.INSTEAD_OF_SAME.get(last, "Clarification")
-    return vocab.INSTEAD_OF_FOLLOW_UP.get(last, kind) if kind == "Follow-Up" else kind
-
-
-#: :func:`instead` for every pair of types, as one table.
-INSTEAD = {(last, kind): instead(last, kind) for last in ("Seed", *(t[0] for t in vocab.QUERY_TYPES)) for kind in (t[0] for t in vocab.QUERY_TYPES)}
+#: Every so many-th correct answer of a conversation changes its subject.
+SHIFT_EVERY = 4
 
 
 def next_type(outcome: Column, last: Column, n_correct: Column, turn_id: Column) -> Column:
-    """The next question type from the outcome of a turn (n_correct counts it): two lookups in the rule tables."""
-    strings = lambda xs: F.array(*(F.lit(x) for x in xs))
-    kind = F.element_at(strings(vocab.AFTER_CORRECT), (n_correct % len(vocab.AFTER_CORRECT) + 1).cast("int"))
-    for failed, by_parity in vocab.AFTER_FAILURE.items():
-        kind = F.when(outcome == failed, F.element_at(strings(by_parity), (turn_id % 2 + 1).cast("int"))).otherwise(kind)
-    moved = {f"{last}|{kind}": to for (last, kind), to in INSTEAD.items() if kind != to}
-    table = F.create_map(*(F.lit(x) for pair in moved.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, F.concat(last, F.lit("|"), kind)), kind)
+    """The next question type from the outcome of a turn (n_correct counts it).
+
+    A correct answer makes questions harder, a failure asks for what went wrong
+    again. No type follows itself, and a follow-up stands neither behind a hard
+    question nor behind a clarification: a clarification, or behind one a
+    comparison, takes its place.
+    """
+    hard = F.array(*(F.lit(x) for x in vocab.ESCALATION))
+    harder = F.when(n_correct % SHIFT_EVERY == 0, "Topic Shift").otherwise(F.element_at(hard, (n_correct % len(vocab.ESCALATION) + 1).cast("int")))
+    asks_again = F.when(turn_id % 2 == 0, "Clarification").otherwise("Follow-Up")
+    wanted = F.when(outcome == "wrong", "Correction").when(outcome == "hallucinated", "Unanswerable").when(outcome == "abstained", asks_again).otherwise(harder)
+    unfit = (wanted == last) | ((wanted == "Follow-Up") & ((last == "Clarification") | F.array_contains(hard, last)))
+    return F.when(unfit, F.when(last == "Clarification", "Comparative").otherwise("Clarification")).otherwise(wanted)
 
 
 def fold(log: DataFrame, key: str = "conversation_id", start: str = "Seed") -> DataFrame:

@@ -1,7 +1,7 @@
 """An extension: the controller and the outcome profile over live turns.
 
 The batch engine covers everything that needs no clock; these keep the same
-rule tables over a stream. Late turns are bounded by the watermark.
+rules over a stream. Late turns are bounded by the watermark.
 """
 
 from __future__ import annotations
@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnlens.functions import vocab
-from turnlens.operators.control import INSTEAD
+from turnlens.operators.control import SHIFT_EVERY
 
 STATE = "last string, n_correct long, turn_id long"
 OUT = "conversation_id long, turn_id long, outcome string, next_type string"
 
 
 def next_type(outcome: str, last: str, n_correct: int, turn_id: int) -> str:
-    """Two lookups in the rule tables that the column in ``operators.control`` reads, too."""
-    failed = vocab.AFTER_FAILURE.get(outcome)
-    return INSTEAD[last, failed[turn_id % 2] if failed else vocab.AFTER_CORRECT[n_correct % len(vocab.AFTER_CORRECT)]]
+    """The rules of the column in ``operators.control``, for one turn."""
+    hard = vocab.ESCALATION
+    again = "Follow-Up" if turn_id % 2 else "Clarification"
+    harder = hard[n_correct % len(hard)] if n_correct % SHIFT_EVERY else "Topic Shift"
+    wanted = {"wrong": "Correction", "hallucinated": "Unanswerable", "abstained": again}.get(outcome, harder)
+    if wanted == last or (wanted == "Follow-Up" and last in ("Clarification", *hard)):
+        return "Comparative" if last == "Clarification" else "Clarification"
+    return wanted
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
