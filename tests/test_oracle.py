@@ -9,8 +9,8 @@ from tests.oracle import differences
 from turnlens.plans import catalog
 
 
-#: Queries whose steps feed one another; tests/test_loop.py holds them.
-WITHOUT_SQL = {"adaptive_loop"}
+#: Queries whose steps feed one another; tests/test_loop.py and tests/test_dialogue.py hold them.
+WITHOUT_SQL = {"adaptive_loop", "static_dialogue"}
 
 
 def test_every_other_query_has_sql():
