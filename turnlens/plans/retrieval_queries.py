@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlens.functions import match
 from turnlens.functions import text as t
+from turnlens.functions import vectors as x
 from turnlens.operators import retrieval as r
 from turnlens.plans import text_queries as tq
 from turnlens.plans import views as v
@@ -164,8 +165,30 @@ def evidence_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return best.groupBy("item_id").agg(F.round(F.avg("best"), 6).alias("overlap"))
 
 
+def evidence_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """For each seed the mean, over one search's chunks, of the best cosine to another's.
+
+    The other's few vectors come in one array, so a chunk meets them in its own row and no pair is written.
+    """
+    _, first, second = _requery(spark, sf)
+    vec = lambda c: x.counts(x.codes(F.col(c)))
+    other = second.select("item_id", vec("text").alias("v")).groupBy("item_id").agg(F.collect_list("v").alias("others"))
+    best = first.select("item_id", vec("text").alias("v")).join(other, "item_id").select("item_id", F.round(F.array_max(F.transform("others", lambda o: x.cosine(F.col("v"), o))), 9).alias("best"))
+    return best.groupBy("item_id").agg(F.round(F.avg("best"), 6).alias("overlap"))
+
+
+def doc_similarity_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Each seed's chunks with their cosines to its question, its gold and its answer, the closest to the question first."""
+    bench, first, _ = _requery(spark, sf)
+    said = bench.join(r.extractive(bench, first), "item_id").select("item_id", *(x.counts(x.codes(F.col(c))).alias(c) for c in ("question", "gold", "answer")))
+    rows = first.select("item_id", "chunk_id", x.counts(x.codes(F.col("text"))).alias("v")).join(said, "item_id")
+    near = rows.select("item_id", "chunk_id", *(F.round(F.round(x.cosine(F.col(c), F.col("v")), 9), 3).alias(f"to_{c}") for c in ("question", "gold", "answer")))
+    w = Window.partitionBy("item_id").orderBy(F.desc("to_question"), "chunk_id")
+    return near.withColumn("place", F.row_number().over(w).cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
-    dense_topk, rerank_stable, vector_rag, long_rag, mock_rag, union_dedupe, self_critique_rag, corrective_rag, doc_id_remap, text_resolve, union_corpus, doc_similarity, evidence_overlap,
+    evidence_cosine, doc_similarity_text, dense_topk, rerank_stable, vector_rag, long_rag, mock_rag, union_dedupe, self_critique_rag, corrective_rag, doc_id_remap, text_resolve, union_corpus, doc_similarity, evidence_overlap,
 )}
 
 _DENSE = lambda k: f"""SELECT qid, rank, vec_id, score FROM (SELECT qid, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, vec_id) AS rank FROM (
@@ -245,3 +268,28 @@ SQL = {
     ),
     "evidence_overlap": sql(f"SELECT item_id, round(avg(best), 6) AS overlap FROM (SELECT a.item_id, a.chunk_id, max({_JAC('a.text', 'b.text')}) AS best FROM top5 a JOIN t2 b USING (item_id) GROUP BY ALL) GROUP BY item_id", "answers", more=_AGAIN),
 }
+
+
+def _vectors_sql(name: str, rows: str, key: str, text: str) -> dict[str, str]:
+    """CTEs: ``name`` has (key, d, v), the hashed vector of each text, and ``{name}_n`` its length."""
+    digit = lambda i: f"(strpos('0123456789abcdef', substring(m, {i}, 1)) - 1)"
+    return {
+        name: f"""SELECT {key}, {digit(1)} * 16 + {digit(2)} + 1 AS d, sum(CASE WHEN substring(m, 3, 1) < '8' THEN 1 ELSE -1 END) AS v FROM (
+            SELECT {key}, md5(unnest(list_filter({tokens(text)}, lambda t: length(t) >= {x.TOKEN_CHARS}))) AS m FROM {rows}) GROUP BY ALL""",
+        f"{name}_n": f"SELECT {key}, sqrt(sum(v * v)) AS n FROM {name} GROUP BY {key}",
+    }
+
+
+_COS = lambda a, b, on: f"coalesce((SELECT sum(p.v * q.v) FROM {a} p JOIN {b} q USING (d) WHERE {on}), 0) / (coalesce((SELECT n FROM {a}_n p WHERE {on.split(' AND ')[0]}), 0) * coalesce((SELECT n FROM {b}_n q WHERE {on.split(' AND ')[1]}), 0) + 1e-9)"
+_CHUNK_V = {**_AGAIN, "used": "SELECT DISTINCT chunk_id, text FROM (SELECT chunk_id, text FROM top5 UNION ALL SELECT chunk_id, text FROM t2)", **_vectors_sql("cv", "used", "chunk_id", "text")}
+SQL["evidence_cosine"] = sql(
+    f"""SELECT item_id, round(avg(best), 6) AS overlap FROM (SELECT item_id, a, max(round(c, 9)) AS best FROM (
+          SELECT x.item_id, x.chunk_id AS a, {_COS('cv', 'cv', 'p.chunk_id = x.chunk_id AND q.chunk_id = y.chunk_id')} AS c FROM top5 x JOIN t2 y USING (item_id)) GROUP BY ALL) GROUP BY item_id""",
+    "answers", more=_CHUNK_V, once=True,
+)
+_TO = lambda c: f"round(round({_COS(c, 'cv', 'p.item_id = x.item_id AND q.chunk_id = x.chunk_id')}, 9), 3)"
+SQL["doc_similarity_text"] = sql(
+    f"""SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY to_question DESC, chunk_id) AS place FROM (
+          SELECT x.item_id, x.chunk_id, {_TO('qv')} AS to_question, {_TO('gv')} AS to_gold, {_TO('av')} AS to_answer FROM top5 x)""",
+    "answers", more={**_CHUNK_V, **_vectors_sql("qv", "answers", "item_id", "question"), **_vectors_sql("gv", "answers", "item_id", "gold"), **_vectors_sql("av", "answers", "item_id", "answer")}, once=True,
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlens.functions import vectors
 from turnlens.lineage import kept
 from turnlens.operators import systems, tree
 from turnlens.plans import retrieval_queries as rq
@@ -49,7 +50,7 @@ def _level(i: int) -> dict[str, str]:
     out = {
         f"k{i}": f"SELECT CASE WHEN count(*) <= {tree.FEW} THEN 0 ELSE greatest(2, least(count(*) // {tree.PER_CLUSTER}, {tree.MOST})) END AS k FROM l{i}",
         f"x{i}": f"""SELECT node_id, n, {_digit(1)} * 16 + {_digit(2)} + 1 AS d, CASE WHEN substring(m, 3, 1) < '8' THEN 1 ELSE -1 END AS sign FROM (
-            SELECT node_id, len(t) AS n, md5(unnest(t)) AS m FROM (SELECT node_id, list_filter({tokens('text')}, lambda t: length(t) >= {tree.TOKEN_CHARS}) AS t FROM l{i}), k{i} WHERE k > 0)""",
+            SELECT node_id, len(t) AS n, md5(unnest(t)) AS m FROM (SELECT node_id, list_filter({tokens('text')}, lambda t: length(t) >= {vectors.TOKEN_CHARS}) AS t FROM l{i}), k{i} WHERE k > 0)""",
         f"a{i}_": f"SELECT node_id, c FROM (SELECT node_id, row_number() OVER (ORDER BY md5(node_id::VARCHAR), node_id) - 1 AS c FROM l{i}), k{i} WHERE c < k",
         **sums(f"u{i}_", f"a{i}_"),
         f"w{i}_0": f"SELECT c, d, s / len AS w FROM u{i}_s JOIN u{i}_n USING (c)",
