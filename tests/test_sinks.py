@@ -91,3 +91,22 @@ def test_systems_answer_every_question(spark, name):
 def test_external_index_is_a_placeholder(spark):
     with pytest.raises(NotImplementedError):
         systems.connect("pageindex")(None, None)
+
+
+def test_rewrites_fall_back_to_the_question(spark):
+    from turnlens.providers import base
+
+    rows = spark.createDataFrame([(1, "What is it?", "user: the mill"), (2, "And then?", ""), (3, "fails", "x"), (4, "blank", "x")], "k long, question string, history string")
+    made = base.Rule({"self_contained": F.when(F.col("question") == "blank", " ").when(F.col("question") != "fails", F.concat(F.lit(" about: "), "question"))})
+    got = {r["k"]: r["rewritten"] for r in model.rewritten(rows, "self_contained", made).collect()}
+    assert got == {1: "about: What is it?", 2: "And then?", 3: "fails", 4: "blank"}
+    assert {r["k"]: r["rewritten"] for r in model.rewritten(rows, "refine").collect()} == {1: "What is it?", 2: "And then?", 3: "fails", 4: "blank"}
+    with pytest.raises(ValueError):
+        model.rewritten(rows, "other")
+
+
+def test_queries_without_tokens_get_the_first_chunks(spark):
+    units = spark.createDataFrame([(i, 0, i, f"number {i}") for i in range(9)], "chunk_id long, doc_id long, pos long, text string")
+    asked = spark.createDataFrame([(1, "…", "…"), (2, "number", "number 5")], "qid long, question string, query string")
+    got = {r["qid"]: [(d["chunk_id"], d["score"] is None) for d in r["docs"]] for r in systems.connect("vector")(asked, units, k=3).collect()}
+    assert got[1] == [(0, True), (1, True), (2, True)] and got[2][0] == (5, False)
