@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 import time
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.llm import cases
-from turnlens.llm import entry, mixing, quality_rules, toxicity, url_filter
+from turnlens.llm import common, entry, exact_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter
 
 SF = f"{DATA}/sf0.001"
 WORD = r"[^\\x20\\x09-\\x0D]+".replace("\\\\", "\\")
@@ -72,6 +73,26 @@ def test_column_names_do_not_clash(spark):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def internal_names() -> list[str]:
+    """Every name that the stages' modules give a column."""
+    found = set()
+    for m in (common, exact_dedup, mixing, ngram_join, toxicity):
+        found |= set(re.findall(r"""["'](_[a-z]\w*)["']""", inspect.getsource(m)))
+    return sorted(found)
+
+
+def test_stages_leave_every_name_to_the_caller(spark):
+    names = internal_names()
+    assert {"_gh", "_key", "_gid", "_one", "_maybe", "_reg", "_size", "_pattern", "_times", "_full", "_score", "_text"} <= set(names)
+    docs = cases.documents(spark).withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in [*names, "caller0"]})
+    labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (6, 0, 0), (7, 0, 0), (8, 0, 0), (9, 1, 0), (11, 1, 0), (14, 1, 1)], "doc_id long, quality int, toxic int")
+    for stage in (lambda d: toxicity.clean(d, labels), exact_dedup.drop_copies, ngram_join.keep_one, mixing.mixed):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+
+
 def test_mix_tells_rows_of_one_id_apart(spark):
     """Seven rows without an id, ids given twice with different texts, and a row given twice: one row out for each."""
     word = lambda n, k: " ".join(f"w{k}" for _ in range(n))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,23 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, had) if had is not None else spark.conf.unset(CLEANUP)
 
 
+def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` (docs, ...) -> rows with the columns of docs, safe from the caller's names: columns that operators add begin with an underscore, so those of the caller that do so have others meanwhile."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+        theirs = [c for c in docs.columns if c.startswith("_")]
+        if not theirs:
+            return stage(docs, *args, **kwargs)
+        mark = "caller"
+        while any(c.lower().startswith(mark) for c in docs.columns):
+            mark += "s"
+        names = {c: f"{mark}{i}" for i, c in enumerate(theirs)}
+        return stage(docs.withColumnsRenamed(names), *args, **kwargs).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches of this session so long texts cannot fill a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

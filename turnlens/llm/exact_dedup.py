@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import BROADCAST_ROWS, cut, join_by_size, kept_narrow
+from turnlens.llm.common import BROADCAST_ROWS, cut, join_by_size, kept_narrow, own_names
 
 #: Filter cells for each row; 2 of 16 leave about 1.4 % of unrepeated rows to the exact pass.
 CELLS_PER_ROW = 16
@@ -120,6 +120,7 @@ def flag_copies(docs: DataFrame, normalize: Callable[[Column], Column] | None =
     return _flags(docs, normalize, id_col, text_col).drop("_h")
 
 
+@own_names
 def drop_copies(docs: DataFrame, normalize: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are copies, all columns kept.
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut, word_count
+from turnlens.llm.common import cut, own_names, word_count
 
 #: Membership patterns a mix may have: they are metadata, solved on the driver and broadcast. More raise an error; none is dropped.
 MAX_PATTERNS = 100_000
@@ -335,6 +335,7 @@ def taken(docs: DataFrame, seed: int = 7, weights: dict | None = None) -> DataFr
     )
 
 
+@own_names
 def mixed(docs: DataFrame, seed: int = 7, weights: dict | None = None) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each once for every time it is taken."""
     keep = [F.col(c) for c in docs.columns]

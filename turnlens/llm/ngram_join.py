@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import broadcast_if_small, components, cut, kept_narrow, small_batches
+from turnlens.llm.common import broadcast_if_small, components, cut, kept_narrow, own_names, small_batches
 from turnlens.llm.exact_dedup import without
 from turnlens.llm.shingles import mix, shingle_hashes
 
@@ -341,6 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _classified(docs, id_col, text_col).select("doc_id", "class_id", "n_links")
 
 
+@own_names
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near duplicates, that of the least id, all columns kept."""
     return without(docs, cut(_classified(docs, id_col, text_col)), F.xxhash64(F.coalesce(text_col, F.lit(""))), id_col)

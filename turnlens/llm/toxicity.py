@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlens.llm.common import cut, small_batches
+from turnlens.llm.common import cut, own_names, small_batches
 
 #: Labelled rows that training reads at most.
 TRAIN_ROWS = 16_000
@@ -283,6 +283,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None, name:
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+@own_names
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows scored toxic."""
     return score(docs, train(docs, labels)).filter(F.col("_score") < threshold).drop("_score")
