@@ -23,8 +23,6 @@ ATTEMPTS = 3
 #: Types that refer back by a pronoun; types that a repeated answer turns into another.
 BY_PRONOUN = ("Follow-Up", "Ambiguous Reference")
 CIRCLING = ("Ambiguous Reference", "Follow-Up", "Clarification", "Correction")
-#: Guards that let a question pass in the last attempt: they judge its form alone.
-LENIENT = ("structure", "label")
 #: Passages among which a seed's answer is looked for, attempt by attempt, and the share of its question that a sentence must have.
 WIDER, ANSWERABLE = (8, 16, 24), 0.5
 

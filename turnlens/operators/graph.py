@@ -12,14 +12,11 @@ from turnlens.lineage import kept
 MAX_ENTITIES = 12
 #: Rounds of an iteration between two checkpoints.
 KEEP_ROUNDS = 5
-#: Runs of capitalised ASCII words that letters, digits and underscores of any script bound.
-_PHRASE = r"(?<![\p{L}\p{N}_])([A-Z][a-zA-Z0-9]+(?:\s+(?:of|the|de|van|von)?\s*[A-Z][a-zA-Z0-9]+)*)(?![\p{L}\p{N}_])"
-_JUNK = r"(?i)^\W*(BIB|TAB|SEC|FIG)REF\d+\W*$"
 
 
 def entities(text: Column) -> Column:
     """Capitalised phrases in order, without repeats (case aside) and those that start with a stop word."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(_PHRASE), F.lit(1)), lambda p: F.trim(p))
+    found = F.transform(F.regexp_extract_all(text, F.lit(vocab.PHRASE), F.lit(1)), lambda p: F.trim(p))
     good = F.filter(found, lambda p: ~F.split(p, r"\s+")[0].isin(*vocab.STOP_CAPITALS) & (F.length(p) >= 3))
     return _first_by_case(good)
 
@@ -35,7 +32,7 @@ def _first_by_case(names: Column) -> Column:
 
 
 def is_junk(name: Column) -> Column:
-    return (F.trim(name) == "") | name.rlike(_JUNK)
+    return (F.trim(name) == "") | name.rlike(vocab.JUNK)
 
 
 def extract(chunks: DataFrame) -> DataFrame:

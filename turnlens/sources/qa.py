@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlens.functions import vocab
 from turnlens.operators.ordering import numbered
 
 
 MAX_PARAGRAPHS = 40
-#: An abstract of a computing paper has one of these.
-COMPUTING = (
-    "neural network", "deep learning", "machine learning", "transformer model", "language model", "gradient descent", "convolutional", "attention mechanism",
-    "reinforcement learning", "natural language processing", "nlp", "bert", "gpt", "llm", "generative model", "classification accuracy", "word embedding",
-    "recurrent", "support vector", "random forest", "feature extraction",
-)
 
 
 def no_meta() -> Column:
@@ -137,7 +132,7 @@ def corpus_chunks(spark: SparkSession, path: str) -> DataFrame:
 def articles(spark: SparkSession, path: str) -> DataFrame:
     """Computing articles, told by their abstracts, as cleaned paragraphs."""
     raw = spark.read.json(path, schema="article string, abstract string")
-    hit = F.lower("abstract").rlike("|".join(COMPUTING))
+    hit = F.lower("abstract").rlike("|".join(vocab.COMPUTING))
     rows = raw.filter(hit).select(F.xxhash64("article").alias("id"), clean_paragraphs(F.col("article")).alias("c")).filter(F.size("c") > 0)
     return rows.select(*_sample(F.col("id"), F.lit(""), F.lit(""), F.col("c")))
 
