@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -16,3 +17,12 @@ def kept(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnlens-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows of keys and numbers that may be broadcast.
+BROADCAST_ROWS = 250_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (narrow, and cheap to count) with a broadcast hint if it has ``rows`` rows at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
