@@ -90,6 +90,26 @@ def test_html_tree_holds_out():
 LONG_TEXT = " ".join("the quiet river runs below an old stone bridge where people meet on market days and sell fruit".split() * 3)
 
 
+def test_html_keeps_articles_full_of_links_and_short_pages():
+    tree = html_extract.train()
+    say = lambda n, mark: " ".join(f"{mark}{i}" for i in range(n))
+    link = lambda words: f'<a href="/x">{words}</a>'
+    head = f"<article><h1>T</h1><p>{link(say(12, 'w'))}</p><p>{say(40, 'v')}</p><ul><li>{link('ref one')}<li>{link('ref two')}</ul></article>"
+    assert html_extract.main_text(head, tree) == f"T\n{say(12, 'w')}\n{say(40, 'v')}\nref one\nref two"
+    recipe = "<html><body><nav>" + link("Home") + "</nav><h1>Recipe</h1><p>Boil the egg for ten minutes.</p><p>Eat it.</p></body></html>"
+    assert html_extract.main_text(recipe, tree) == "Recipe\nBoil the egg for ten minutes.\nEat it."
+    math = f"<article><p>We see <math><mi>x</mi><mo>=</mo></math> {say(30, 'w')}</p></article>"
+    assert html_extract.main_text(math, tree) == f"We see x= {say(30, 'w')}"
+    items = [f"item number {i}" for i in range(5)]
+    index = "<nav>" + link("Home") + "</nav><article><ul>" + "".join(f"<li>{link(x)}</li>" for x in items) + "</ul></article><footer>c</footer>"
+    assert html_extract.main_text(index, tree) == "\n".join(items)
+    cited = [f"{say(20, f'p{i}_')} {link(f'a{i}')} {say(10, 'q')} {link(f'b{i}')}" for i in range(4)]
+    page = "<article><h1>Head</h1>" + "".join(f"<p>{c}</p>" for c in cited) + "<p>End.</p></article>"
+    assert html_extract.main_text(page, tree).count("\n") == 5
+    only_side = "<nav>" + link("Home") + "</nav><div>" + link("About") + "</div><footer>c</footer>"
+    assert html_extract.main_text(only_side, tree) == ""
+
+
 def test_html_keeps_content_of_marked_wrappers_and_short_ends():
     tree = html_extract.train()
     body = f"<h1>The title of it</h1><p>{LONG_TEXT}</p><p>Short end.</p>"

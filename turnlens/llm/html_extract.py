@@ -5,7 +5,8 @@ inline tags do not. Each block carries shallow features: its words and link
 density, those of the blocks before and after it and of those in the same
 element, and weaker ones of the region it lies in (tags, and the part of the page
 that class words mark). A decision tree, trained on a small labelled table, tells
-content from the rest. The built-in labelled table is made from invented pages; a
+content from the rest; where it finds none, the text outside all side regions is
+content. The built-in labelled table is made from invented pages; a
 caller may give labelled blocks of their own.
 
 Defined results: a null or empty page has the empty text. Unclosed or stray
@@ -36,7 +37,7 @@ BLOCK_TAGS = frozenset(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Tags whose content is no text of the page.
-SILENT_TAGS = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select option".split())
+SILENT_TAGS = frozenset("script style noscript template iframe object svg canvas audio video title textarea select option".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Regions by tag.
 SIDE_TAGS = frozenset("nav footer aside form dialog menu button label fieldset".split())
@@ -336,6 +337,17 @@ def labelled_pages(pages: int = 1500, seed: int = 3) -> list[tuple[str, set[str]
                 words, more = say(some(20, 60)), next(numbers)
                 wanted.add(f"{words} w{more} stone bridge")
                 good.append(f'<p>{words} <a href="/x">w{more} stone bridge</a></p>')  # a paragraph with a link
+        if draw.random() < 0.25:  # a paragraph with links all over
+            parts = [(say(some(3, 30)), say(some(1, 6))) for _ in range(draw.randint(2, 4))]
+            wanted.add(" ".join(f"{a} {b}" for a, b in parts))
+            good.append("<p>" + " ".join(f'{a} <a href="/x">{b}</a>' for a, b in parts) + "</p>")
+        if draw.random() < 0.2 and not plain:  # a paragraph that is a link, and references, in the article itself
+            put('<p><a href="/x">{}</a></p>', some(2, 20))
+        if draw.random() < 0.2 and not plain:
+            good.append("<ul>")
+            for _ in range(draw.randint(1, 5)):
+                put('<li><a href="/x">{}</a></li>', some(1, 12))
+            good.append("</ul>")
         if plain:
             for n in (some(25, 80), some(25, 80), some(1, 9)):
                 put("<p>{}</p>", n)
@@ -362,9 +374,18 @@ def train(labelled: Sequence[tuple[str, set[str]]] | None = None) -> Tree:
     return Tree().fit(np.concatenate(xs), np.concatenate(ys)) if xs else Tree()
 
 
+def unmarked(found: Sequence[Block]) -> np.ndarray:
+    """The blocks outside all side regions: those of a main region if it has any, else those that are not links alone."""
+    free = np.array([not b.side and not b.word for b in found], bool)
+    inside = free & np.array([b.main for b in found], bool)
+    return inside if inside.any() else free & np.array([b.linked < b.words for b in found], bool)
+
+
 def main_text(page: str | None, tree: Tree) -> str:
     found = blocks(page or "")
     keep = tree.predict(features(found)) >= 0.5
+    if not keep.any():
+        keep = unmarked(found)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
