@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -206,6 +207,66 @@ def test_flow_is_of_least_cost():
     assert (-sum(total.values()), sum(price(p, n) for p, n in total.items())) == best
 
 
+def _token_by_token(capacity, members, quota):
+    """(tokens, cost) of a flow of least cost, found by shortest paths that carry one token each."""
+    arcs = {}
+    for p, c in capacity.items():
+        for k, cost in enumerate(mixing.COSTS):
+            arcs["S", (p, k)], arcs[(p, k), p] = [c, cost], [c, 0]
+        for s in members[p]:
+            arcs[p, "to " + s] = [99, 0]
+    for s, q in quota.items():
+        arcs["to " + s, "T"] = [q, 0]
+    for (a, b), (_, cost) in list(arcs.items()):
+        arcs[b, a] = [0, -cost]
+    tokens = price = 0
+    while True:
+        dist, came, changed = {"S": 0}, {}, True
+        while changed:
+            changed = False
+            for (a, b), (cap, cost) in arcs.items():
+                if cap and a in dist and dist[a] + cost < dist.get(b, 999):
+                    dist[b], came[b], changed = dist[a] + cost, a, True
+        if "T" not in dist:
+            return tokens, price
+        tokens, price, at = tokens + 1, price + dist["T"], "T"
+        while at != "S":
+            arcs[came[at], at][0] -= 1
+            arcs[at, came[at]][0] += 1
+            at = came[at]
+
+
+def test_flow_of_many_overlaps_is_of_least_cost():
+    dice = random.Random(3)
+    for _ in range(300):
+        capacity = {f"p{i}": dice.randint(0, 5) for i in range(dice.randint(1, 6))}
+        members = {p: dice.sample("abcd", dice.randint(0, 3)) for p in capacity}
+        quota = {s: dice.randint(0, 12) for s in "abcd"}
+        flow = mixing.min_cost_flow(capacity, members, quota)
+        total = {p: sum(f.values()) for p, f in flow.items()}
+        assert all(set(f) <= set(members[p]) and min(f.values(), default=1) > 0 for p, f in flow.items())
+        assert all(sum(f.get(s, 0) for f in flow.values()) <= quota[s] for s in quota)
+        price = sum(mixing.COSTS[k // capacity[p]] for p, n in total.items() for k in range(n))  # a fourth repeat would raise
+        assert (sum(total.values()), price) == _token_by_token(capacity, members, quota)
+
+
+def test_flow_of_very_many_patterns():
+    """Time grows with the patterns: as many as a mix may have, alone and overlapping."""
+    n = mixing.MAX_PATTERNS
+    alone = mixing.min_cost_flow({f"p{i}": 10 for i in range(n)}, {f"p{i}": [i] for i in range(n)}, {i: 5 + i % 30 for i in range(n)})
+    assert all(alone[f"p{i}"][i] == min(30, 5 + i % 30) for i in range(n))
+    both = mixing.min_cost_flow({f"p{i}": 10 for i in range(n)}, {f"p{i}": [i % 50, (i * 7 + 1) % 50] for i in range(n)}, {i: 30_000 for i in range(50)})
+    assert sum(sum(f.values()) for f in both.values()) == 1_500_000
+
+
+def test_every_pattern_goes_through_the_flow(spark, monkeypatch):
+    flow, routed = mixing.min_cost_flow, []
+    monkeypatch.setattr(mixing, "min_cost_flow", lambda capacity, members, quota: routed.append(dict(capacity)) or flow(capacity, members, quota))
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    got = {(r["source"], r["source_size"]) for r in mixing.taken(docs).collect()}
+    assert len(routed) == 1 and sorted(routed[0].values()) == sorted(n for _, n in got) and len(got) > 3
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf = f"{DATA}/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -17,7 +17,6 @@ rows. Very long texts are counted whole. Extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import json
 from dataclasses import dataclass, field
 
@@ -74,61 +73,75 @@ def capped_targets(sizes: dict[str | None, int], weights: dict[str | None, float
 def min_cost_flow(capacity: dict[str, int], members: dict[str, list], quota: dict, costs: tuple[int, ...] = COSTS) -> dict[str, dict]:
     """Tokens from patterns to sources: as many as quotas allow, at the least repetition cost.
 
-    Successive shortest paths over pattern arcs of convex cost. Returns for
-    each pattern the tokens sent to each source.
+    Only arcs into patterns cost anything, and a shortest path enters one pattern from
+    the start, so all augmenting paths of one repetition cost the same: successive shortest
+    paths are a maximum flow for each repetition in turn, on what the ones before left. Each
+    is found in blocking flows, which take patterns without a competitor in one sweep.
+    Returns for each pattern the tokens sent to each source.
     """
-    src, snk = ("S",), ("T",)
-    graph: dict[tuple, list[int]] = {src: [], snk: []}
-    arcs: list[list] = []  # to, capacity left, cost
-
-    def arc(a: tuple, b: tuple, cap: int, cost: int) -> int:
-        for u, v, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
-            graph.setdefault(u, []).append(len(arcs))
-            arcs.append([v, c, w])
-        return len(arcs) - 2
-
-    used: dict[tuple[str, object], int] = {}
-    for p in sorted(capacity):
-        if capacity[p] > 0:
-            for c in costs:
-                arc(src, ("p", p), capacity[p], c)
-            for s in members[p]:
-                used[p, s] = arc(("p", p), ("s", s), len(costs) * capacity[p], 0)
-    for s in sorted(quota, key=lambda s: (s is None, s or "")):
-        if quota[s] > 0:
-            arc(("s", s), snk, quota[s], 0)
-    height = dict.fromkeys(graph, 0)
-    order = {v: i for i, v in enumerate(graph)}
-    while True:
-        dist, came, heap = {src: 0}, {}, [(0, order[src], src)]
-        while heap:
-            d, _, u = heapq.heappop(heap)
-            if d > dist[u]:
+    open_ = {s: q for s, q in quota.items() if q > 0}
+    ways = {p: [s for s in members[p] if s in open_] for p in sorted(capacity) if capacity[p] > 0}
+    sent: dict[str, dict] = {p: dict.fromkeys(ss, 0) for p, ss in ways.items()}
+    givers: dict[object, list[str]] = {s: [] for s in open_}
+    for p, ss in ways.items():
+        for s in ss:
+            givers[s].append(p)
+    for _ in sorted(costs):
+        spare = {p: capacity[p] for p in ways}
+        while _blocking_flow(ways, givers, sent, spare, open_):
+            pass
+    return {p: {s: n for s, n in sent.get(p, {}).items() if n} for p in capacity}
+
+
+def _blocking_flow(ways: dict[str, list], givers: dict[object, list[str]], sent: dict[str, dict], spare: dict[str, int], open_: dict) -> int:
+    """Adds to ``sent`` a flow that blocks all shortest paths from patterns with ``spare`` to sources still ``open_``; the tokens moved."""
+    depth: dict[tuple, int] = {("p", p): 0 for p, n in spare.items() if n > 0}
+    layer, reached = list(depth), False
+    while layer and not reached:
+        after = []
+        for kind, v in layer:
+            nexts = [("s", s) for s in ways[v]] if kind == "p" else [("p", p) for p in givers[v] if sent[p][v] > 0]
+            for node in nexts:
+                if node not in depth:
+                    depth[node] = depth[kind, v] + 1
+                    after.append(node)
+                    reached = reached or (node[0] == "s" and open_[node[1]] > 0)
+        layer = after
+    if not reached:
+        return 0
+    tried: dict[tuple, int] = {}
+    moved = 0
+    for start in [p for p, n in spare.items() if n > 0]:
+        path = [("p", start)]
+        while path and spare[start] > 0:
+            kind, v = path[-1]
+            if kind == "s" and open_[v] > 0:
+                back = [(path[i][1], path[i + 1][1]) for i in range(1, len(path) - 1, 2)]  # a source gives up what this pattern sent it
+                push = min(spare[start], open_[v], *(sent[p][s] for s, p in back))
+                for i in range(0, len(path) - 1, 2):
+                    sent[path[i][1]][path[i + 1][1]] += push
+                for s, p in back:
+                    sent[p][s] -= push
+                spare[start] -= push
+                open_[v] -= push
+                moved += push
+                path = [("p", start)]
                 continue
-            for k in graph[u]:
-                v, cap, cost = arcs[k]
-                if cap > 0 and (nd := d + cost + height[u] - height[v]) < dist.get(v, float("inf")):
-                    dist[v], came[v] = nd, (u, k)
-                    heapq.heappush(heap, (nd, order[v], v))
-        if snk not in dist:
-            break
-        far = max(dist.values())
-        for v in height:
-            height[v] += dist.get(v, far)
-        push, v = float("inf"), snk
-        while v != src:
-            push, v = min(push, arcs[came[v][1]][1]), came[v][0]
-        v = snk
-        while v != src:
-            u, k = came[v]
-            arcs[k][1] -= push
-            arcs[k ^ 1][1] += push
-            v = u
-    out: dict[str, dict] = {p: {} for p in capacity}
-    for (p, s), k in used.items():
-        if arcs[k ^ 1][1]:
-            out[p][s] = arcs[k ^ 1][1]
-    return out
+            nexts = ways[v] if kind == "p" else givers[v]
+            i = tried.get(path[-1], 0)
+            while i < len(nexts):
+                node = ("s" if kind == "p" else "p", nexts[i])
+                if depth.get(node) == depth[path[-1]] + 1 and (kind == "p" or sent[nexts[i]][v] > 0):
+                    break
+                i += 1
+            tried[path[-1]] = i
+            if i < len(nexts):
+                path.append(node)
+            else:  # no way on: the node before goes on with its next
+                path.pop()
+                if path:
+                    tried[path[-1]] = tried.get(path[-1], 0) + 1
+    return moved
 
 
 def _order(seed: int) -> Column:
@@ -238,15 +251,7 @@ def solve(rows: DataFrame, weights: dict | None = None) -> Mix:
     targets = capped_targets(sizes, weights or weights_in_turn(list(sizes)), total)
     mix = Mix({s: (sizes[s], targets[s]) for s in sizes})
     quota = {s: round(t) for s, t in targets.items()}
-    shared: dict[str | None, int] = {}
-    for ss in members.values():
-        for s in ss:
-            shared[s] = shared.get(s, 0) + 1
-    # a source that only one pattern has, which has no other source, takes what it may from it
-    alone = {p for p, ss in members.items() if len(ss) == 1 and shared[ss[0]] == 1}
-    flow = {p: {members[p][0]: min(quota[members[p][0]], REPEATS * capacity[p])} for p in alone}
-    settled = {members[p][0] for p in alone}
-    flow |= min_cost_flow({p: c for p, c in capacity.items() if p not in alone}, members, {s: q for s, q in quota.items() if s not in settled})
+    flow = min_cost_flow(capacity, members, quota)
     for p, sent in flow.items():
         tokens = sum(sent.values())
         mix.usage[p] = divmod(tokens, capacity[p]) if capacity[p] else (0, 0)
