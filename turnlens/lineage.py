@@ -8,15 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: The session's setting by which shuffle files go when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder that the session names (one of our own only where none is)."""
+    """``df`` computed once into the checkpoint folder that the session names (one of our own only where none is); shuffle files of the computation go at once."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnlens-"))
-    return df.checkpoint(eager=True)
+    had = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own: files of ``df``'s are left alone
+    finally:
+        spark.conf.set(CLEANUP, had) if had is not None else spark.conf.unset(CLEANUP)
 
 
 #: Rows of keys and numbers that may be broadcast.
