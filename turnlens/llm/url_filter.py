@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from turnlens.llm.common import small_batches
 
 #: (host and path, verdict). A rule fits its host, all subdomains, and paths that start with its path.
-RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
+RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
 #: Words of the built-in labelled table: of hosts to block, of hosts to allow, and of either.
 BAD = (
