@@ -21,3 +21,18 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     for q in range(0, 60, 5):
         best = sorted(rows, key=lambda u: (-round(sum(a * b for a, b in zip(rows[q], rows[u], strict=True)), 9), u))[:3]
         assert [got[q, r] for r in (1, 2, 3)] == best
+
+
+def test_dense_search_writes_no_pairs(spark, monkeypatch):
+    """Ties, copies and more vectors than a tile: the ranks of all pairs, from k rows a query and task."""
+    monkeypatch.setattr(retrieval.scoring, "TILE_VECTORS", 16)
+    monkeypatch.setattr(retrieval.scoring, "TILE_QUERIES", 8)
+    vecs = spark.range(200).select(F.col("id").alias("vec_id"), F.array(*(F.sin((F.col("id") % 150) * (i + 1)) for i in range(4))).alias("emb")).repartition(3)
+    asked = vecs.filter("vec_id % 9 = 0").select(F.col("vec_id").alias("qid"), F.col("emb").alias("qemb"))
+    plan = []
+    monkeypatch.setattr(retrieval, "kept", lambda d: plan.append(d._jdf.queryExecution().optimizedPlan().toString()) or d.localCheckpoint())
+    got = {(r["qid"], r["rank"]): r["vec_id"] for r in retrieval.dense_topk(asked, vecs, 3).collect()}
+    rows = {r["vec_id"]: r["emb"] for r in vecs.collect()}
+    for q in range(0, 200, 9):
+        assert [got[q, r] for r in (1, 2, 3)] == sorted(rows, key=lambda u: (-round(sum(a * b for a, b in zip(rows[q], rows[u], strict=True)), 9), u))[:3]
+    assert plan and "Join" not in plan[0]

@@ -25,7 +25,7 @@ def run(seeds: DataFrame, chunks: DataFrame, turns: int = 4, system: str = "vect
     passage cannot answer has the abstention as its gold.
     """
     answer_with = systems.connect(system)
-    options = {"indexed": tuple(kept(d) for d in systems.index(chunks))} if system == "vector" else {}
+    options = {"indexed": systems.index(chunks)} if system == "vector" else {}
     e = graph.entities(F.col("passage"))
     state = seeds.select(
         "qid", "passage", "question", "gold", F.lit("Seed").alias("query_type"), F.lit(0).cast("long").alias("n_correct"), F.lit("").alias("said"), F.get(e, F.lit(0)).alias("e0"), F.get(e, F.lit(1)).alias("e1")

@@ -20,7 +20,7 @@ def _bench_top(spark: SparkSession, sf: str, k: int = 5) -> tuple[DataFrame, Dat
     chunks, bench = v.chunks(spark, sf), v.bench(spark, sf)
     post = v.postings(chunks)
     asked = bench.select("item_id", F.explode(t.token_set(F.col("question"))).alias("token"))
-    hits = r.lexical_topk(asked, post, r.idf(post, chunks), k)
+    hits = r.unit_topk(asked, r.token_lists(chunks), r.idf(post, chunks), k)
     return bench, hits.join(chunks.select("chunk_id", "text"), "chunk_id")
 
 
