@@ -18,9 +18,8 @@ _any = lambda col, ps: "(" + " OR ".join(f"contains(lower({col}), '{p.replace(ch
 def _bench_top(spark: SparkSession, sf: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """The seeds, and the k best chunks of each with their texts."""
     chunks, bench = v.chunks(spark, sf), v.bench(spark, sf)
-    post = v.postings(chunks)
     asked = bench.select("item_id", F.explode(t.token_set(F.col("question"))).alias("token"))
-    hits = r.unit_topk(asked, r.token_lists(chunks), r.idf(post, chunks), k)
+    hits = r.unit_topk(asked, r.texts(chunks), r.weights(chunks), k)
     return bench, hits.join(chunks.select("chunk_id", "text"), "chunk_id")
 
 
