@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tests.llm import cases
 from turnlens.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup
+from turnlens.llm.common import cut
 from turnlens.llm.shingles import shingle_hashes
 
 
@@ -239,6 +241,29 @@ def test_lines_of_a_common_pair(spark, monkeypatch):
     assert {r["doc_id"] for r in got if r["n_removed"]} == {i for i, *_ in rows if i % 2}
 
 
+@pytest.mark.parametrize("direct", [0, 64])
+def test_lines_are_linked_where_the_first_pairs_are_not(spark, monkeypatch, direct):
+    """If no pair that is tried first is a link, the other pairs of the buckets still are tried, with leaders and without."""
+    first = line_dedup._met
+    monkeypatch.setattr(line_dedup, "_met", lambda *args: (lambda pairs, *rest: (pairs.limit(0), *rest))(*first(*args)))
+    monkeypatch.setattr(line_dedup, "DIRECT", direct, raising=False)
+    rows = [(k, " ".join(["seven", "words", "that", "all", "lines", "do", "share", *(f"{c}{k}" for c in "abcdefgh")]), "en", "a") for k in range(1, 9)]
+    rows.append((9, rows[3][1] + " more", "en", "a"))
+    got = line_dedup.dedup_lines(cases.documents(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {9}
+
+
+def test_lines_leave_little_behind(spark):
+    """What rounds have read goes with them; the lines to remove alone stay in the checkpoint folder."""
+    cut(spark.range(1))  # so that the folder is there
+    at = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in at.rglob("*") if f.is_file())
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    before = size()
+    assert line_dedup.dedup_lines(docs).count() == docs.count()
+    assert size() - before < sum(f.stat().st_size for f in Path(f"{DATA}/sf0.01").glob("documents.parquet*")) / 2
+
+
 # --- near duplicates --------------------------------------------------------------------
 
 
