@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlens.functions import guards, match, slots, vocab
 from turnlens.functions import text as t
+from turnlens.lineage import kept
 from turnlens.operators import retrieval as r
 from turnlens.plans import views as v
 from turnlens.plans.oracle import share, slug, sql, tokens
@@ -15,12 +16,12 @@ _lst = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws)  # noq
 _any = lambda col, ps: "(" + " OR ".join(f"contains(lower({col}), '{p.replace(chr(39), chr(39) * 2)}')" for p in ps) + ")"
 
 
-def _bench_top(spark: SparkSession, sf: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def _bench_top(spark: SparkSession, sf: str, k: int = 5, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The seeds, and the k best chunks of each with their texts."""
     chunks, bench = v.chunks(spark, sf), v.bench(spark, sf)
     asked = bench.select("item_id", F.explode(t.token_set(F.col("question"))).alias("token"))
-    hits = r.unit_topk(asked, r.texts(chunks), r.weights(chunks), k)
-    return bench, hits.join(chunks.select("chunk_id", "text"), "chunk_id")
+    hits = r.unit_topk(asked, r.texts(chunks), r.weights(chunks) if weights is None else weights, k)
+    return bench, kept(r.with_texts(hits, chunks))  # k rows a seed, read by several branches
 
 
 def lexical_rag_profile(spark: SparkSession, sf: str) -> DataFrame:
