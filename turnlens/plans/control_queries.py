@@ -70,9 +70,9 @@ def counterfactual_probe(spark: SparkSession, sf: str) -> DataFrame:
     return real.join(cf, "qid").groupBy("outcome", "cf_outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _seeds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _seeds(spark: SparkSession, sf: str, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Seeds (item_id, question, answer, passage) and their contexts (item_id, pos, text): the passage, then what search finds."""
-    bench, top = tq._bench_top(spark, sf)
+    bench, top = tq._bench_top(spark, sf, weights=weights)
     seeds = bench.select("item_id", "question", F.col("gold").alias("answer"), F.col("text").alias("passage"))
     own = seeds.select("item_id", F.lit(0).alias("pos"), F.col("passage").alias("text"))
     return seeds, own.unionByName(top.select("item_id", F.col("rank").alias("pos"), "text"))
@@ -86,9 +86,9 @@ def near_miss(spark: SparkSession, sf: str) -> DataFrame:
     return study.near_misses(*_seeds(spark, sf)).select("item_id", F.col("d").cast("long").alias("d"), F.md5("text").alias("text_md5"))
 
 
-def _cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _cases(spark: SparkSession, sf: str, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Cases with the system's answer and whether the failure fired, and their contexts; kept, as the probes ask again."""
-    seeds, own = _seeds(spark, sf)
+    seeds, own = _seeds(spark, sf, weights)
     cases, ctx = study.inject(seeds, kept(own))
     ctx = kept(ctx)
     got = study.answered(cases, ctx, F.col("question"), "answer")
@@ -106,12 +106,12 @@ def attrib_single(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _recovered(spark: SparkSession, sf: str, fired: DataFrame) -> DataFrame:
+def _recovered(spark: SparkSession, sf: str, fired: DataFrame, weights: DataFrame) -> DataFrame:
     """(case_id, core, follow_up): whether a fresh search for a sub-question of either kind recovers the answer."""
     chunks = v.chunks(spark, sf)
     subs = kept(study.sub_questions(fired).withColumn("sid", F.concat_ws("#", "case_id", "i")))
-    found = tq.r.unit_topk(subs.select("sid", F.explode(tq.t.token_set(F.col("question"))).alias("token")), tq.r.texts(chunks), tq.r.weights(chunks), 5, query="sid").join(chunks.select("chunk_id", "text"), "chunk_id")
-    again = subs.join(tq.r.extractive(subs, found, "sid"), "sid").join(fired.select("case_id", "gold"), "case_id")
+    found = tq.r.unit_topk(subs.select("sid", F.explode(tq.t.token_set(F.col("question"))).alias("token")), tq.r.texts(chunks), weights, 5, query="sid")
+    again = subs.join(tq.r.extractive(subs, kept(tq.r.with_texts(found, chunks)), "sid"), "sid").join(fired.select("case_id", "gold"), "case_id")
     right = match.lexical_correct(F.col("gold"), F.col("answer"))
     by = again.groupBy("case_id").agg(*(F.coalesce(F.bool_or(right & (F.col("kind") == k)), F.lit(False)).alias(n) for k, n in (("core", "core"), ("follow-up", "follow_up"))))
     return fired.select("case_id").join(by, "case_id", "left").select("case_id", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("follow_up", F.lit(False)).alias("follow_up"))
@@ -119,8 +119,9 @@ def _recovered(spark: SparkSession, sf: str, fired: DataFrame) -> DataFrame:
 
 def attrib_static(spark: SparkSession, sf: str) -> DataFrame:
     """Attribution by whether a fresh search for core sub-questions recovers the answer."""
-    fired = _cases(spark, sf)[0].filter("fired")
-    rows = fired.join(_recovered(spark, sf, fired), "case_id")
+    weights = tq.r.weights(v.chunks(spark, sf))
+    fired = _cases(spark, sf, weights)[0].filter("fired")
+    rows = fired.join(_recovered(spark, sf, fired, weights), "case_id")
     return rows.groupBy("truth", study.base(F.col("core"), F.col("present")).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -131,9 +132,10 @@ def attrib_dynamic(spark: SparkSession, sf: str) -> DataFrame:
 
 def study_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The four predictors over the same fired cases: by method and truth, cases and how many are told right."""
-    rows, ctx = _cases(spark, sf)
+    weights = tq.r.weights(v.chunks(spark, sf))
+    rows, ctx = _cases(spark, sf, weights)
     fired = rows.filter("fired")
-    probed = study.dynamic(fired, ctx).join(_recovered(spark, sf, fired), "case_id")
+    probed = study.dynamic(fired, ctx).join(_recovered(spark, sf, fired, weights), "case_id")
     preds = (study.base(F.lit(False), F.col("present")), study.base(F.col("core"), F.col("present")), study.base(F.col("follow_up"), F.col("present")), F.col("pred"))
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), p.alias("pred")) for m, p in zip(vocab.METHODS, preds, strict=True))))
     return probed.select("truth", each.alias("m")).groupBy("m.method", "truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m.pred") == F.col("truth")).alias("n_right"))
